@@ -137,9 +137,9 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return _STATE[key]
 
 
-def _adding(df: DataFrame, text: str, new: list[T.StructField], pairs) -> DataFrame:
-    """Appends the columns ``new``, computed from ``text`` by ``pairs(list) -> dict``."""
-    names = {f.name.lower() for f in new}
+def _adding(df: DataFrame, text: str, new: list[T.StructField], pairs, keep_text: bool = True) -> DataFrame:
+    """Appends the columns ``new``, computed from ``text`` by ``pairs(list)``, which returns (values, type) for each."""
+    names = {f.name.lower() for f in new} | ({text.lower()} if not keep_text else set())
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     source = df.select(*[df[f"`{f.name}`"] for f in kept], df[f"`{text}`"].alias("__text"))
     schema = T.StructType([*kept, *new])
@@ -167,7 +167,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
 
 
 def encode_digest(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with n_tokens, ids_sha256 and, after decoding the ids, decoded_sha256."""
+    """``df`` without the text and with n_tokens, ids_sha256 and, after decoding the ids, decoded_sha256."""
     spark: SparkSession = df.sparkSession
     common.ship(spark)
     raw = spark.sparkContext.broadcast(load_ranks(vocabulary))
@@ -184,7 +184,7 @@ def encode_digest(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
         return [(n, pa.int64()), (ids_sha, pa.string()), (decoded_sha, pa.string())]
 
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _adding(df, text, new, pairs)
+    return _adding(df, text, new, pairs, keep_text=False)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:

@@ -208,17 +208,16 @@ def range_splits(df: DataFrame, column: str, parts: int) -> list[int]:
 
 def range_of(column, splits: list[int]):
     """Index of the range (0-based) that a value falls into; nulls go to the first.
-    Nested comparisons: logarithmic depth, compiled by Spark."""
-
-    def tree(lo: int, hi: int):
-        if hi - lo <= 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
-
+    Two levels: first among every k-th split, then among the k that follow it."""
     if len(splits) <= 1:
         return F.lit(0)
-    return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(splits)))
+    k = max(1, int(len(splits) ** 0.5))
+    table = F.lit(splits).cast("array<bigint>")
+    coarse = F.lit(splits[k::k]).cast("array<bigint>") if splits[k::k] else F.array().cast("array<bigint>")
+    value = column.cast("bigint")
+    first = F.size(F.filter(coarse, lambda x: x <= value)) * k
+    fine = F.size(F.filter(F.slice(table, first + 1, k), lambda x: x <= value))
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.greatest(first + fine - 1, F.lit(0))).cast("int")
 
 
 def input_bytes(df: DataFrame) -> int:

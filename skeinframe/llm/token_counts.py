@@ -147,7 +147,7 @@ def _counter(raw: bytes, pattern: str) -> Counter:
     return _STATE[key]
 
 
-def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", limit: int = 1024) -> DataFrame:
+def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", limit: int = 1024, keep_text: bool = True) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text."""
     spark = df.sparkSession
     common.ship(spark)
@@ -159,4 +159,4 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text
         return [([len((t or "").encode()) for t in texts], pa.int64()), (n, pa.int64()), ([x > limit for x in n], pa.bool_())]
 
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return _adding(df, text, new, pairs)
+    return _adding(df, text, new, pairs, keep_text)
