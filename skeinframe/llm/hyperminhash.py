@@ -5,15 +5,15 @@
    stores its smallest remainder as leading-zero count and ``MANTISSA`` bits.
 2. Equal shingle sets (same 128-bit digest) form a class; its smallest doc_id
    stands for it. Thousands of copies become one representative here.
-3. Bands of compressed registers are keys; representatives that share a key are
-   candidates. Sets of fewer than 32 shingles use 8 wide bands, of which a pair
-   within the threshold must share one; larger sets use 32 narrow bands, where a
-   pair at 0.80 is missed with probability 5e-8 and one at 0.85 with 5e-11; sets
-   in between use both.
+3. 32 bands of four compressed registers are keys (an empty register first takes the
+   value of a filled one, found by a fixed probe order); representatives that share a
+   key are candidates. A pair at similarity 0.80 is missed with probability 5e-8, one
+   at 0.85 with 5e-11.
 4. Candidates aren't all paired. In each key one leader is compared with the
    members; links are joined into components; a member that was a leader has met
    everyone and leaves. A key is done when those that have not led are all in one
-   component. Otherwise 16 times as many leaders are taken in the next round. No
+   component. Otherwise members that share too few shingles with other components to
+   have a link with any (an exact bound) leave, and 16 times as many leaders are taken for the next round. No
    pair of different components stays unseen, so no link that matters is lost,
    and a group of m near copies costs about m comparisons.
 5. A pair is first judged by set sizes and by the collision-corrected Jaccard
@@ -44,9 +44,10 @@ from pyspark.sql import functions as F
 from . import common
 
 REGISTERS, MANTISSA, WIDTH = 128, 10, 5
-SMALL, BOTH = 32, 48  # below BOTH: wide bands; from SMALL on: narrow bands
+PROBES = 256
 BROADCAST_ROWS = 2_000_000  # ids (8 bytes each) that may be broadcast; beyond, a shuffled join
 LEADERS_GROW = 16
+PRUNE_FROM = 20_000  # open memberships from which the exact bound on shingles is applied first
 _STATE: dict = {}
 #: Chance that two different minima give equal registers: sum over leading-zero counts of 4^-k, times 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
@@ -74,20 +75,33 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the bands that hold a value."""
-    fours = regs.view(np.uint64)
-    keys = []
-    if n >= SMALL:
-        k = np.arange(len(fours), dtype=np.uint64)
-        keys.append(common.mix64(fours ^ common.mix64(k + np.uint64(1)))[fours != 0])
-    if n < BOTH:
-        wide = fours.reshape(-1, 4)
-        h = np.arange(len(wide), dtype=np.uint64) + np.uint64(1000)
-        for c in range(4):
-            h = common.mix64(h ^ wide[:, c]) * np.uint64(3)
-        keys.append(h[(wide != 0).any(1)])
-    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+def _probes() -> np.ndarray:
+    """For each bucket the order in which it looks for a filled one, if it is empty itself."""
+    k = np.arange(REGISTERS, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(PROBES, dtype=np.uint64)
+    return (common.mix64(k + np.uint64(77)) % np.uint64(REGISTERS)).astype(np.int64)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers in which each empty one has the value of the first filled one it looks at: then
+    a band of any set, however small, agrees with about the fourth power of the similarity."""
+    empty = np.flatnonzero(regs == 0)
+    if not len(empty) or len(empty) == REGISTERS:
+        return regs
+    table = _STATE.get("probes")
+    if table is None:
+        table = _STATE["probes"] = _probes()
+    seen = regs[table[empty]]
+    at = (seen != 0).argmax(1)
+    out = regs.copy()
+    got = seen[np.arange(len(empty)), at]
+    out[empty] = np.where(got != 0, got, regs[np.flatnonzero(regs)[0]])
+    return out
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A key per band of four compressed registers."""
+    fours = filled(regs).view(np.uint64)
+    return common.mix64(fours ^ common.mix64(np.arange(1, len(fours) + 1, dtype=np.uint64))).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +111,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1), used
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, regs, keys) of every row; not stored."""
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, regs, keys) of every row; not stored. Sets too small to
+    reach the threshold with any other set have no keys: only equal sets join them."""
     common.ship(docs.sparkSession)
     schema = "doc_id long, n_shingles long, set_id binary, regs binary, keys array<long>"
 
@@ -111,7 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(r.tobytes())
-                keys.append(band_keys(r, len(s)) if len(s) else [])
+                keys.append(band_keys(r) if 100 * len(s) >= percent * (len(s) + 1) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "regs", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -192,9 +207,52 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rid, comp) of the members whose key holds more than one component; stored."""
+    now = members.select("key", "rid").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
+    now = common.stored(now, "open")
+    keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    return common.stored(now.join(keys, "key", "left_semi"), "open")
+
+
+def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, steps: int) -> DataFrame:
+    """The members of ``now`` that can still reach the threshold with a member of another
+    component. A shingle that only one component has can't be in an intersection across
+    components: with s other shingles of n, and a partner of at least m shingles, similarity is
+    at most s / (m + n - s). Members below the threshold by that bound have no such link and
+    leave; then more shingles are exclusive, so the step is repeated."""
+    ids = common.stored(now.select("rid").distinct().join(reps.select("rid", "n", "set_id"), "rid"), "open-ids")
+    wanted = ids.select(F.col("rid").alias("doc_id"), "set_id", "n")
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if ids.count() <= BROADCAST_ROWS // 4 else wanted, "doc_id")
+
+    def spread(batches):
+        for whole in batches:
+            for batch in common.slices(iter([whole]), "text"):
+                sets = [_set_of(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                arrays = [[] if x is None else x.view(np.int64).tolist() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(arrays, pa.list_(pa.int64()))], names=["rid", "n", "tokens"])
+
+    tokens = common.stored(texts.select("doc_id", "text", "set_id", "n").mapInArrow(spread, "rid long, n long, tokens array<long>"), "open-shingles")
+    sizes = ids.select("rid", "n")
+    for _ in range(steps):
+        smallest = now.join(sizes, "rid").groupBy("key").agg(F.min("n").alias("m"))
+        doc = now.join(smallest, "key").groupBy("rid", "comp").agg(F.min("m").alias("m"))
+        doc = common.stored(doc.join(sizes, "rid"), "open-docs")
+        rows = tokens.select("rid", F.explode("tokens").alias("h")).join(doc.select("rid", "comp"), "rid")
+        across = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
+        across = common.stored(across, "open-across")
+        s = rows.join(across, "h", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("s"))
+        least = F.greatest(F.col("m") * 100, F.col("n") * percent)  # a partner has at least percent % of n shingles
+        able = doc.join(s, "rid").filter(F.col("s") * 10_000 >= percent * (least + 100 * (F.col("n") - F.col("s")))).select("rid")
+        now = common.stored(now.join(common.stored(able, "open-able"), "rid", "left_semi"), "open")
+        keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        now = common.stored(now.join(keys, "key", "left_semi"), "open")
+    return now
+
+
 def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
-    drawn = common.stored(sketches(docs), "sketches")
+    drawn = common.stored(sketches(docs, percent), "sketches")
     # min over (id is null, id): a class with any id is named by its smallest
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("first")
     classes = common.stored(drawn.filter("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", F.col("first.doc_id").alias("rid"), "copies"), "classes")
@@ -216,16 +274,15 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     many = 1
     while True:
         many *= LEADERS_GROW
-        now = open_.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-        now = common.stored(now, "open")
-        unsettled = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        now = common.stored(now.join(unsettled, "key", "left_semi"), "open")
+        now = _unsettled(open_, labels)
         if now.isEmpty():
             break
+        if now.count() > PRUNE_FROM:
+            now = _linkable(now, reps, docs, percent, 3 if many == LEADERS_GROW else 1)
         lot = F.pmod(F.xxhash64("rid", F.lit(many)), F.lit(many))
         lead = now.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rid", "comp")).alias("l")).select("key", F.col("l.rid").alias("lead"), F.col("l.comp").alias("lcomp"))
         lead = common.stored(lead, "leaders")
-        pairs = now.join(lead, "key").filter("comp <> lcomp").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
+        pairs = now.join(lead, (now["key"] == lead["key"]) & (now["comp"] != lead["lcomp"])).select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
         pairs = common.stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = _judged(pairs, reps, docs, percent)
