@@ -195,10 +195,10 @@ def range_splits(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts`` existing values of ``column``, ascending, that cut it into
     ranges of about equal counts; the first is the minimum. The number is a
     parameter, so what reaches the driver doesn't grow with the data."""
-    parts = max(1, min(parts, 4096))
+    parts = max(1, min(parts, 32_768))
     probs = [i / parts for i in range(parts)]
     row = df.agg(
-        F.percentile_approx(column, F.lit(probs).cast("array<double>"), F.lit(max(10_000, 20 * parts))).alias("q"),
+        F.percentile_approx(column, F.lit(probs).cast("array<double>"), F.lit(max(10_000, 4 * parts))).alias("q"),
         F.min(column).alias("lo"),
     ).first()
     if row is None or row["lo"] is None:

@@ -215,6 +215,18 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return common.stored(now.join(keys, "key", "left_semi"), "open")
 
 
+def _met(now: DataFrame, lead: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a leader and a member of another component that share a key it
+    leads. Two texts share up to 32 keys; the pair comes from the smallest of them only."""
+    owned = common.stored(now.groupBy("rid").agg(F.collect_set("key").alias("ks")), "open-keys")  # at most one key per band
+    led = common.stored(lead.groupBy("lead").agg(F.collect_set("key").alias("lks")), "led-keys")
+    x = now.join(owned, "rid").withColumnRenamed("key", "k")
+    y = lead.join(led, "lead")
+    first = F.array_min(F.array_intersect("ks", "lks")) == F.col("k")
+    met = x.join(y, (x["k"] == y["key"]) & (x["comp"] != y["lcomp"]) & first)
+    return met.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
+
+
 def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, steps: int) -> DataFrame:
     """The members of ``now`` that can still reach the threshold with a member of another
     component. A shingle that only one component has can't be in an intersection across
@@ -282,7 +294,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         lot = F.pmod(F.xxhash64("rid", F.lit(many)), F.lit(many))
         lead = now.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rid", "comp")).alias("l")).select("key", F.col("l.rid").alias("lead"), F.col("l.comp").alias("lcomp"))
         lead = common.stored(lead, "leaders")
-        pairs = now.join(lead, (now["key"] == lead["key"]) & (now["comp"] != lead["lcomp"])).select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
+        pairs = _met(now, lead)
         pairs = common.stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = _judged(pairs, reps, docs, percent)

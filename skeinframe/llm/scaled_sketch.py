@@ -77,13 +77,13 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def with_next_text(docs: DataFrame, parts: int = 256) -> DataFrame:
+def with_next_text(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` (doc_id, text) with ``next_text``: that of the next row by ascending
     doc_id, after the last the first. Ranges of doc_id are windows of their own; the
     first row of each range also goes, as a ghost, to the end of the range before it,
     so no window holds more than one range. Equal doc_ids are ordered by text; null
     doc_ids come first."""
-    splits = common.range_splits(docs, "doc_id", parts)
+    splits = common.range_splits(docs, "doc_id", max(64, common.input_bytes(docs) // range_bytes))
     n = max(1, len(splits))
     at = common.range_of(F.col("doc_id"), splits)
     heads = F.array_contains(F.lit(splits).cast("array<bigint>"), F.col("doc_id").cast("bigint")) if splits else F.lit(False)
