@@ -33,6 +33,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .token_counts import byte_symbols
 
 MAGIC = b"SKRP0001"
 BLOCK_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, BINS = 10, 2048, 1 << 19
-KEEP_CHUNKS, KEEP_CHARS = 400_000, 48
+ROUNDS, RULES_A_ROUND, BIN_BITS = 6, 2048, 17
+BINS = 1 << BIN_BITS
+KEEP_CHUNKS, KEEP_CORES, KEEP_CHARS = 250_000, 600_000, 48
 _STATE: dict = {}
 
 
@@ -61,78 +64,85 @@ def learn(ids: np.ndarray, stop: int, base: int, most_symbols: int = 1 << 16) ->
     s = ids.astype(np.uint32)
     rules: list[tuple[int, int]] = []
     room = max(0, most_symbols - base) if base < most_symbols else 1 << 20
+    speaker = np.zeros(BINS, np.int32)
     for _ in range(ROUNDS):
         if len(s) < 64 or len(rules) >= room:
             break
-        code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
-        bins[(s[:-1] == stop) | (s[1:] == stop)] = BINS
-        seen = np.zeros(BINS + 1, np.uint64)
-        seen[bins] = code  # one pair speaks for its bin
-        own = seen[bins] == code
-        own[bins == BINS] = False
-        many = np.bincount(bins[own], minlength=BINS + 1)
+        left, right = s[:-1], s[1:]
+        bins = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - BIN_BITS)
+        many = np.bincount(bins, minlength=BINS)
         least = max(4, len(s) // 200_000)
         heavy = np.flatnonzero(many >= least)
         if not len(heavy):
             break
         heavy = heavy[np.lexsort((heavy, -many[heavy]))][: min(RULES_A_ROUND, room - len(rules))]
-        symbol = np.zeros(BINS + 1, np.uint32)
+        full = np.zeros(BINS, bool)
+        full[heavy] = True
+        where = np.flatnonzero(full[bins])
+        mine, a, b = bins[where], left[where], right[where]
+        speaker[mine] = np.arange(len(mine), dtype=np.int32)  # one pair speaks for its bin
+        by = speaker[mine]
+        own = (a[by] == a) & (b[by] == b) & (a != stop) & (b != stop)
+        where, mine = where[own], mine[own]
+        many = np.bincount(mine, minlength=BINS)  # of that very pair
+        heavy = heavy[many[heavy] >= least]
+        if not len(heavy):
+            break
+        symbol = np.zeros(BINS, np.uint32)
         symbol[heavy] = base + len(rules) + np.arange(len(heavy), dtype=np.uint32)
-        at = np.flatnonzero(own & (symbol[bins] > 0))
+        made = symbol[mine]
+        at, made = where[made > 0], made[made > 0]
         head = np.r_[True, at[1:] != at[:-1] + 1]
-        begin = np.maximum.accumulate(np.where(head, at, 0))
-        at = at[(at - begin) % 2 == 0]
-        s2 = s.copy()
-        s2[at] = symbol[bins[at]]
+        if not head.all():  # overlapping occurrences: every second one from the left
+            begin = np.maximum.accumulate(np.where(head, at, 0))
+            chosen = (at - begin) % 2 == 0
+            at, made = at[chosen], made[chosen]
+        rules += list(zip(a[speaker[heavy]].tolist(), b[speaker[heavy]].tolist(), strict=True))
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        rules += [(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in seen[heavy]]
-        if len(at) < len(s) // 100:
-            s = s2[keep]
+        s[at] = made
+        few = len(at) < len(s) // 50
+        s = s[keep]
+        if few:
             break
-        s = s2[keep]
     return s, np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out.astype(np.uint32)
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.uint32)
+
+
+def sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    table = np.ones(base + len(lengths), np.int64)
+    table[base:] = lengths
+    return table[symbols]
 
 
 class Grammar:
-    """Expands symbols: every nonterminal's expansion is laid out once."""
+    """Expands symbols: the ids of every symbol are laid out once, terminals first."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
-        self.base = base
-        parts: list[np.ndarray] = []
+        self.base, self.lengths = base, lengths
+        parts: list[bytes] = []
         for a, b in rules.tolist():
-            x = parts[a - base] if a >= base else np.array([a], np.uint32)
-            y = parts[b - base] if b >= base else np.array([b], np.uint32)
-            parts.append(np.concatenate([x, y]))
-        self.flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        self.lengths = lengths.astype(np.int64)
-        self.at = np.r_[0, np.cumsum(self.lengths)]
+            parts.append((parts[a - base] if a >= base else struct.pack("<I", a)) + (parts[b - base] if b >= base else struct.pack("<I", b)))
+        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(parts), "<u4")])
+        wide = np.cumsum(lengths.astype(np.int64))
+        self.at = np.concatenate([np.arange(base), base + wide - lengths])
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        big = symbols >= self.base
-        out[big] = self.lengths[symbols[big].astype(np.int64) - self.base]
-        return out
+        return sizes(symbols, self.lengths, self.base)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.sizes(symbols)
         ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        big = symbols >= self.base
-        out[(ends - size)[~big]] = symbols[~big]
-        k = symbols[big].astype(np.int64) - self.base
-        n, to = size[big], (ends - size)[big]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(to, n) + step] = self.flat[np.repeat(self.at[k], n) + step]
-        return out
+        step = np.repeat(self.at[symbols] - (ends - size), size)
+        step += np.arange(len(step))
+        return self.flat[step]
 
 
 def pack_block(docs: list[tuple[int | None, np.ndarray]], stop: int, terminals: int) -> tuple[bytes, dict]:
@@ -141,8 +151,7 @@ def pack_block(docs: list[tuple[int | None, np.ndarray]], stop: int, terminals:
     symbols, rules = learn(ids, stop, base)
     lengths = expansion_lengths(rules, base)
     first_id = np.r_[0, np.cumsum([len(d) for _, d in docs])][:-1]
-    g = Grammar(rules, lengths, base)
-    first_symbol = np.searchsorted(np.cumsum(g.sizes(symbols)), first_id, side="right")
+    first_symbol = np.searchsorted(np.cumsum(sizes(symbols, lengths, base)), first_id, side="right")
     table = np.array([[d or 0, s, i, d is not None] for (d, _), s, i in zip(docs, first_symbol.tolist(), first_id.tolist(), strict=True)], np.int64)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     head = struct.pack("<8Q", base, len(rules), len(symbols), len(ids), len(docs), width, 0, 0)
@@ -166,6 +175,11 @@ class Block:
         self.grammar = Grammar(rules, lengths, base)
         self.ends = np.r_[self.table[1:, 1:3], [[n_symbols, self.n_ids]]]
 
+    def everything(self) -> list[np.ndarray]:
+        """All documents, expanded in one go."""
+        ids = self.grammar.expand(self.symbols)
+        return [ids[a:b] for a, b in zip(self.table[:, 2].tolist(), self.ends[:, 1].tolist(), strict=True)]
+
     def document(self, k: int) -> np.ndarray:
         return self.grammar.expand(self.symbols[self.table[k, 1] : self.ends[k, 0]])
 
@@ -180,42 +194,66 @@ class Block:
 
 # ---------------------------------------------------------------- the encoder
 
-_CHUNK = re.compile(WS := r"[^\x20\x09-\x0D]+")
+#: Letters, then punctuation: the pre-tokenizer divides such a chunk there, and lower-cases the letters one by one.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
 
 
 class ChunkEncoder:
-    """The tokenizers library over blank-separated chunks, each encoded once while kept.
-    For a vocabulary whose pre-tokenizer drops white space, a text's ids are its chunks' ids in turn."""
+    """The tokenizers library over blank-separated chunks. For a vocabulary whose pre-tokenizer
+    drops white space and lower-cases, a text's ids are its chunks' ids in turn; frequent chunks, and
+    the lower-cased letters of others, are encoded once and kept (up to fixed numbers)."""
 
     def __init__(self, raw: bytes):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(raw.decode())
         spec = json.loads(raw)
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        self.by_chunk = any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in split)
+        lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.by_chunk = lower and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in split)
         self.terminals = self.tok.get_vocab_size(with_added_tokens=True)
+        self.symbols = str.maketrans({b: s for b, s in enumerate(byte_symbols())})
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _core(self, core: str) -> bytes:
+        """Letters in lower case are one pre-token: the library's model alone encodes them."""
+        if _LETTERS(core):
+            return array("I", [t.id for t in self.tok.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+        return self._encode([core])[0]
+
+    def _chunks(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that aren't kept."""
+        plain = _PLAIN.fullmatch
+        halves = {c: (m[1].lower(), m[2]) if (m := plain(c)) else ("", c) for c in new}  # ("", c): by the whole library
+        cores = self.cores
+        missing = list({x for half in halves.values() for x in half if x and x not in cores})
+        made = dict(zip(missing, map(self._core, missing), strict=True))
+        if len(cores) < KEEP_CORES:
+            cores.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
+        get = lambda x: (cores[x] if x in cores else made[x]) if x else b""
+        return {c: get(a) + get(b) for c, (a, b) in halves.items()}
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_chunk:
+            return [np.frombuffer(b, "<u4") for b in self._encode([t or "" for t in texts])]
+        chunks, get = [common.words_of(t) for t in texts], self.known.get
+        found = [list(map(get, own)) for own in chunks]
+        new = {c for own, got in zip(chunks, found, strict=True) if None in got for c, b in zip(own, got, strict=True) if b is None}
+        made = self._chunks(new)
+        if len(self.known) < KEEP_CHUNKS:
+            self.known.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
+        return [np.frombuffer(b"".join([made[c] if b is None else b for c, b in zip(own, got, strict=True)] if None in got else got), "<u4") for own, got in zip(chunks, found, strict=True)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if not self.by_chunk:
-            return np.frombuffer(self._encode([text])[0], "<u4")
-        chunks, known = common.words_of(text), self.known
-        try:
-            raw = b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > KEEP_CHUNKS:
-                known.clear()
-            new = list({c for c in chunks if c not in known})
-            made = dict(zip(new, self._encode(new), strict=True))
-            known.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
-            raw = b"".join(known[c] if c in known else made[c] for c in chunks)
-        return np.frombuffer(raw, "<u4")
+        return self.encode_all([text])[0]
 
 
 def _encoder(raw: bytes) -> ChunkEncoder:
@@ -271,7 +309,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 6
     folder = folder or common.scratch(spark, "ids")
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
-    parts = max(16, min(4096, 2 * common.input_bytes(docs) // file_bytes))
+    parts = max(16, 2 * common.input_bytes(docs) // file_bytes)
     splits = common.range_splits(docs, "doc_id", parts)
     n = max(1, len(splits))
     dealt = (
@@ -284,12 +322,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 6
         writer, rows, enc = None, [], _encoder(raw.value)
         end = np.array([end_id], np.uint32)
         for batch in common.slices(batches, "text"):
-            for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):
+            encoded = enc.encode_all(batch.column("text").to_pylist())
+            for part, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if writer is None or writer.part != part:
                     if writer is not None:
                         rows.append(writer.finish())
                     writer = FileWriter(folder, part, end_id, enc.terminals)
-                writer.add(doc_id, np.concatenate([enc.encode(text), end]))
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             rows.append(writer.finish())
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "path", "n_docs", "n_ids", "n_symbols", "bytes"), r, strict=True)) for r in rows], schema=_ARROW_MANIFEST)
@@ -326,8 +365,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 for info, raw in _blocks(path):
                     block = Block(raw)
                     rows: list[list] = [[], [], [], [], []]
-                    for k, (doc_id, _, first, has) in enumerate(block.table.tolist()):
-                        ids = block.document(k)
+                    for ids, (doc_id, _, first, has) in zip(block.everything(), block.table.tolist(), strict=True):
                         for column, v in zip(rows, (doc_id if has else None, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids), strict=True):
                             column.append(v)
                     arrays = [pa.array(c, pa.int64()) for c in rows[:4]]
