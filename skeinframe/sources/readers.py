@@ -129,7 +129,7 @@ def _storable(schema):
 
 def scan_ipc(spark: SparkSession, path: str, n_rows: int | None = None, cache: bool = True, rechunk: bool = False, record_batch_statistics: bool = False) -> LazyFrame:
     spark.dataSource.register(ArrowFileSource)
-    return _limited(spark.read.format("skein_arrow").option("path", path).load(path), n_rows)
+    return _limited(spark.read.format("skein_arrow").load(path), n_rows)
 
 
 def read_ipc_stream(spark: SparkSession, path: str, n_rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
