@@ -220,10 +220,12 @@ def _met(now: DataFrame, lead: DataFrame) -> DataFrame:
     leads. Two texts share up to 32 keys; the pair comes from the smallest of them only."""
     owned = common.stored(now.groupBy("rid").agg(F.collect_set("key").alias("ks")), "open-keys")  # at most one key per band
     led = common.stored(lead.groupBy("lead").agg(F.collect_set("key").alias("lks")), "led-keys")
-    x = now.join(owned, "rid").withColumnRenamed("key", "k")
+    own = led.select(F.col("lead").alias("rid"), F.col("lks").alias("own"))
+    x = now.join(owned, "rid").join(own, "rid", "left").withColumnRenamed("key", "k")
     y = lead.join(led, "lead")
     first = F.array_min(F.array_intersect("ks", "lks")) == F.col("k")
-    met = x.join(y, (x["k"] == y["key"]) & (x["comp"] != y["lcomp"]) & first)
+    once = (F.col("rid") < F.col("lead")) | ~F.coalesce(F.array_contains("own", F.col("k")), F.lit(False))  # two leaders meet once
+    met = x.join(y, (x["k"] == y["key"]) & (x["comp"] != y["lcomp"]) & first & once)
     return met.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
 
 
