@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from .token_counts import byte_symbols
 
 MAGIC = b"SKRP0001"
 BLOCK_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, BIN_BITS = 6, 2048, 17
+ROUNDS, RULES_A_ROUND, BIN_BITS = 5, 2500, 17
 BINS = 1 << BIN_BITS
 KEEP_CHUNKS, KEEP_CORES, KEEP_CHARS = 250_000, 600_000, 48
 _STATE: dict = {}
@@ -232,6 +233,8 @@ class ChunkEncoder:
     def _chunks(self, new: set[str]) -> dict[str, bytes]:
         """Ids of chunks that aren't kept."""
         plain = _PLAIN.fullmatch
+        if not new:
+            return {}
         halves = {c: (m[1].lower(), m[2]) if (m := plain(c)) else ("", c) for c in new}  # ("", c): by the whole library
         cores = self.cores
         missing = list({x for half in halves.values() for x in half if x and x not in cores})
@@ -241,19 +244,32 @@ class ChunkEncoder:
         get = lambda x: (cores[x] if x in cores else made[x]) if x else b""
         return {c: get(a) + get(b) for c, (a, b) in halves.items()}
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Chunks are split and numbered by Arrow; each distinct one is looked up once."""
+        texts = pc.fill_null(texts, "")
         if not self.by_chunk:
-            return [np.frombuffer(b, "<u4") for b in self._encode([t or "" for t in texts])]
-        chunks, get = [common.words_of(t) for t in texts], self.known.get
-        found = [list(map(get, own)) for own in chunks]
-        new = {c for own, got in zip(chunks, found, strict=True) if None in got for c, b in zip(own, got, strict=True) if b is None}
-        made = self._chunks(new)
+            return [np.frombuffer(b, "<u4") for b in self._encode(texts.to_pylist())]
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, chunks))
+        made = self._chunks({c for c, b in zip(chunks, found, strict=True) if b is None})
         if len(self.known) < KEEP_CHUNKS:
             self.known.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
-        return [np.frombuffer(b"".join([made[c] if b is None else b for c, b in zip(own, got, strict=True)] if None in got else got), "<u4") for own, got in zip(chunks, found, strict=True)]
+        parts = [made[c] if b is None else b for c, b in zip(chunks, found, strict=True)]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(lengths) - lengths
+        sizes_ = lengths[at]
+        ends = np.cumsum(sizes_)
+        step = np.repeat(starts[at] - (ends - sizes_), sizes_)
+        step += np.arange(len(step))
+        ids = np.frombuffer(b"".join(parts), "<u4")[step]
+        cuts = np.r_[0, ends][offsets - offsets[0]].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 def _encoder(raw: bytes) -> ChunkEncoder:
@@ -321,8 +337,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 6
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, rows, enc = None, [], _encoder(raw.value)
         end = np.array([end_id], np.uint32)
-        for batch in common.slices(batches, "text"):
-            encoded = enc.encode_all(batch.column("text").to_pylist())
+        for batch in common.slices(batches, "text", 8_000_000):
+            encoded = enc.encode_all(batch.column("text"))
             for part, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if writer is None or writer.part != part:
                     if writer is not None:
