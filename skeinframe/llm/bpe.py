@@ -27,8 +27,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-KEEP_PIECES, KEEP_CHARS = 500_000, 64
-_STATE: dict = {}
+KEEP_PIECES, KEEP_CHARS = 400_000, 64
 
 
 def load_ranks(path: str) -> bytes:
@@ -131,10 +130,11 @@ class Codec:
 
 def codec(raw: bytes, pattern: str) -> Codec:
     key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = Codec(raw, pattern)
-    return _STATE[key]
+    held = common.kept("bpe")
+    if key not in held:
+        held.clear()
+        held[key] = Codec(raw, pattern)
+    return held[key]
 
 
 def _adding(df: DataFrame, text: str, new: list[T.StructField], pairs, keep_text: bool = True) -> DataFrame:

@@ -104,6 +104,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+# ---------------------------------------------------------------- what a Python worker keeps
+
+_KEPT: dict = {"owner": None, "held": {}}
+
+
+def kept(owner: str) -> dict:
+    """The store of one operator in this Python worker. Spark uses a worker again for other
+    operators' tasks, so what another one kept is let go: a worker's memory is that of one operator."""
+    if _KEPT["owner"] != owner:
+        _KEPT["held"].clear()
+        _KEPT["owner"] = owner
+    return _KEPT["held"]
+
+
 # ---------------------------------------------------------------- words and windows
 
 
@@ -135,7 +149,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash, kept for reuse up to ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -48,7 +48,6 @@ PROBES = 256
 BROADCAST_ROWS = 2_000_000  # ids (8 bytes each) that may be broadcast; beyond, a shuffled join
 LEADERS_GROW = 16
 PRUNE_FROM = 20_000  # open memberships from which the exact bound on shingles is applied first
-_STATE: dict = {}
 #: Chance that two different minima give equal registers: sum over leading-zero counts of 4^-k, times 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
 
@@ -57,7 +56,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles of the lower-cased text."""
     if not text:
         return np.empty(0, np.uint64)
-    known = _STATE.setdefault("words", common.WordHashes())
+    known = common.kept("words").setdefault("words", common.WordHashes())
     return np.unique(common.window_hashes(common.words_of(common.lower_ascii(text)), known, WIDTH))
 
 
@@ -87,9 +86,10 @@ def filled(regs: np.ndarray) -> np.ndarray:
     empty = np.flatnonzero(regs == 0)
     if not len(empty) or len(empty) == REGISTERS:
         return regs
-    table = _STATE.get("probes")
+    held = common.kept("words")
+    table = held.get("probes")
     if table is None:
-        table = _STATE["probes"] = _probes()
+        table = held["probes"] = _probes()
     seen = regs[table[empty]]
     at = (seen != 0).argmax(1)
     out = regs.copy()

@@ -39,29 +39,29 @@ from .bpe import _adding
 
 BUCKETS, DIMENSIONS, NEIGHBOURS, MAX_LABELLED, BLOCK = 4096, 48, 15, 3000, 256
 _SHAPES = ((re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "AA"), (re.compile(r"\d+"), "9"))
-_TERMS: dict[str, tuple[int, int]] = {}
 
 
-def _term(word: str) -> tuple[int, int]:
+def _term(word: str, known: dict) -> tuple[int, int]:
     """Buckets of a word and of its shape."""
-    got = _TERMS.get(word)
+    got = known.get(word)
     if got is None:
         shape = word
         for pattern, by in _SHAPES:
             shape = pattern.sub(by, shape)
         got = (zlib.crc32(b"w" + word.lower().encode()) % BUCKETS, zlib.crc32(b"s" + shape[:12].encode()) % BUCKETS)
-        if len(_TERMS) > 300_000:
-            _TERMS.clear()
+        if len(known) > 200_000:
+            known.clear()
         if len(word) <= 64:
-            _TERMS[word] = got
+            known[word] = got
     return got
 
 
 def term_counts(text: str | None) -> dict[int, float]:
     words = common.words_of(text)
     out: dict[int, float] = {}
+    known = common.kept("terms")
     for word, n in Counter(words).items():
-        a, b = _term(word)
+        a, b = _term(word, known)
         out[a] = out.get(a, 0) + n
         out[b] = out.get(b, 0) + 2 * n
     lines = Counter(x for x in (text or "").split("\n") if x.strip())

@@ -37,7 +37,6 @@ BOILERPLATE = (
     "share on facebook", "sign up for our newsletter", "skip to content", "terms of service", "terms of use", "use of cookies",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
-_STATE: dict = {}
 
 
 def symbol_count(text: str) -> int:
@@ -75,7 +74,7 @@ def judge(text: str | None) -> dict:
     n_words, chars = len(words), sum(map(len, words))
     repeated = 0
     if n_words >= 6:
-        known = _STATE.setdefault("words", common.WordHashes())
+        known = common.kept("words").setdefault("words", common.WordHashes())
         h = common.window_hashes(words, known)
         _, back, times = np.unique(h, return_inverse=True, return_counts=True)
         at = np.flatnonzero(times[back] > 1)

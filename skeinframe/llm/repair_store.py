@@ -50,7 +50,6 @@ BLOCK_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, BIN_BITS = 5, 2500, 17
 BINS = 1 << BIN_BITS
 KEEP_CHUNKS, KEEP_CORES, KEEP_CHARS = 250_000, 600_000, 48
-_STATE: dict = {}
 
 
 # ---------------------------------------------------------------- the grammar
@@ -274,10 +273,11 @@ class ChunkEncoder:
 
 def _encoder(raw: bytes) -> ChunkEncoder:
     key = hashlib.sha256(raw).digest()
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = ChunkEncoder(raw)
-    return _STATE[key]
+    held = common.kept("id files")
+    if key not in held:
+        held.clear()
+        held[key] = ChunkEncoder(raw)
+    return held[key]
 
 
 # ---------------------------------------------------------------- files

@@ -28,7 +28,6 @@ from . import common
 from .bpe import _adding
 
 KEEP_PIECES, KEEP_CHARS = 500_000, 64
-_STATE: dict = {}
 NO_RANK = np.int64(1 << 40)
 
 
@@ -141,10 +140,11 @@ class Counter:
 
 def _counter(raw: bytes, pattern: str) -> Counter:
     key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _STATE:
-        _STATE.clear()
-        _STATE[key] = Counter(raw, pattern)
-    return _STATE[key]
+    held = common.kept("token counts")
+    if key not in held:
+        held.clear()
+        held[key] = Counter(raw, pattern)
+    return held[key]
 
 
 def count_tokens(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", limit: int = 1024, keep_text: bool = True) -> DataFrame:
