@@ -49,7 +49,7 @@ MAGIC = b"SKRP0001"
 BLOCK_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, BIN_BITS = 5, 2500, 17
 BINS = 1 << BIN_BITS
-KEEP_CHUNKS, KEEP_CORES, KEEP_CHARS = 250_000, 600_000, 48
+KEEP_PARTS, KEEP_CHARS = 800_000, 48
 
 
 # ---------------------------------------------------------------- the grammar
@@ -196,13 +196,13 @@ class Block:
 
 #: Letters, then punctuation: the pre-tokenizer divides such a chunk there, and lower-cases the letters one by one.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|]*)")
+_PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?%$&*#|]*)$"
 
 
 class ChunkEncoder:
     """The tokenizers library over blank-separated chunks. For a vocabulary whose pre-tokenizer
-    drops white space and lower-cases, a text's ids are its chunks' ids in turn; frequent chunks, and
-    the lower-cased letters of others, are encoded once and kept (up to fixed numbers)."""
+    drops white space and lower-cases, a text's ids are its chunks' ids in turn. A plain chunk is its
+    letters in lower case and its punctuation; the parts are encoded once and kept (up to a fixed number)."""
 
     def __init__(self, raw: bytes):
         import os
@@ -218,53 +218,56 @@ class ChunkEncoder:
         self.terminals = self.tok.get_vocab_size(with_added_tokens=True)
         self.symbols = str.maketrans({b: s for b, s in enumerate(byte_symbols())})
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _core(self, core: str) -> bytes:
+    def _letters(self, word: str) -> bytes:
         """Letters in lower case are one pre-token: the library's model alone encodes them."""
-        if _LETTERS(core):
-            return array("I", [t.id for t in self.tok.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]).tobytes()
-        return self._encode([core])[0]
-
-    def _chunks(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't kept."""
-        plain = _PLAIN.fullmatch
-        if not new:
-            return {}
-        halves = {c: (m[1].lower(), m[2]) if (m := plain(c)) else ("", c) for c in new}  # ("", c): by the whole library
-        cores = self.cores
-        missing = list({x for half in halves.values() for x in half if x and x not in cores})
-        made = dict(zip(missing, map(self._core, missing), strict=True))
-        if len(cores) < KEEP_CORES:
-            cores.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
-        get = lambda x: (cores[x] if x in cores else made[x]) if x else b""
-        return {c: get(a) + get(b) for c, (a, b) in halves.items()}
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.tok.model.tokenize(word)]).tobytes()
+
+    def _parts(self, words: list[str]) -> list[bytes]:
+        """Ids of each part."""
+        found = list(map(self.known.get, words))
+        new = [k for k, b in enumerate(found) if b is None]
+        others = []
+        for k in new:
+            if _LETTERS(words[k]):
+                found[k] = self._letters(words[k])
+            else:
+                others.append(k)
+        for k, b in zip(others, self._encode([words[k] for k in others]), strict=True):
+            found[k] = b
+        room = KEEP_PARTS - len(self.known)
+        self.known.update((words[k], found[k]) for k in new[: max(0, room)] if len(words[k]) <= KEEP_CHARS)
+        return found
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text. Chunks are split and numbered by Arrow; each distinct one is looked up once."""
+        """Ids of each text. Arrow splits texts into chunks, these into parts, and numbers both; each
+        distinct part is looked up once."""
         texts = pc.fill_null(texts, "")
         if not self.by_chunk:
             return [np.frombuffer(b, "<u4") for b in self._encode(texts.to_pylist())]
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = list(map(self.known.get, chunks))
-        made = self._chunks({c for c, b in zip(chunks, found, strict=True) if b is None})
-        if len(self.known) < KEEP_CHUNKS:
-            self.known.update((c, b) for c, b in made.items() if len(c) <= KEEP_CHARS)
-        parts = [made[c] if b is None else b for c, b in zip(chunks, found, strict=True)]
+        chunks = coded.dictionary
+        halves = pc.extract_regex(chunks, _PLAIN)
+        core = pc.coalesce(pc.utf8_lower(pc.struct_field(halves, "core")), chunks)  # not plain: by the whole library
+        tail = pc.fill_null(pc.struct_field(halves, "tail"), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        parts = self._parts(both.dictionary.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(lengths) - lengths
+        at = both.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()].ravel()
         sizes_ = lengths[at]
         ends = np.cumsum(sizes_)
         step = np.repeat(starts[at] - (ends - sizes_), sizes_)
         step += np.arange(len(step))
         ids = np.frombuffer(b"".join(parts), "<u4")[step]
-        cuts = np.r_[0, ends][offsets - offsets[0]].tolist()
+        cuts = np.r_[0, ends][2 * (offsets - offsets[0])].tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str | None) -> np.ndarray:
