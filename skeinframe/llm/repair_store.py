@@ -47,65 +47,90 @@ from .token_counts import byte_symbols
 
 MAGIC = b"SKRP0001"
 BLOCK_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, BIN_BITS = 5, 2500, 17
-BINS = 1 << BIN_BITS
+RULES_A_ROUND, MARK_BITS, LAID_OUT = 2500, 18, 64
 KEEP_PARTS, KEEP_CHARS = 800_000, 48
 
 
 # ---------------------------------------------------------------- the grammar
 
 
+def _repeats(keys: np.ndarray) -> np.ndarray:
+    """Where a pair (x, x) overlaps its own occurrence before: in a run every second one from the left counts."""
+    same = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    if not len(same):
+        return same
+    at = np.arange(len(same))
+    begin = np.maximum.accumulate(np.where(np.r_[True, same[1:] != same[:-1] + 1], at, 0))
+    return same[(at - begin) % 2 == 0]
+
+
 def learn(ids: np.ndarray, stop: int, base: int, most_symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): ``ids`` with frequent pairs replaced, and rules[k] = (left,
-    right) of symbol base + k. Pairs with ``stop`` stay. Each round counts
-    neighbours by hash bin, checks each heavy bin's pair exactly, and replaces the
-    round's most frequent pairs together; where their occurrences overlap, every
-    second one from the left."""
+    right) of symbol base + k. Pairs with ``stop`` stay. Each round counts all pairs
+    exactly and replaces up to ``RULES_A_ROUND`` of the most frequent ones together; where
+    occurrences overlap, the more frequent pair goes first and the other waits for a later
+    round. Ends when no pair occurs ``least`` times or no symbol is left, and no pair of a rule is left."""
     s = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
     room = max(0, most_symbols - base) if base < most_symbols else 1 << 20
-    speaker = np.zeros(BINS, np.int32)
-    for _ in range(ROUNDS):
-        if len(s) < 64 or len(rules) >= room:
-            break
-        left, right = s[:-1], s[1:]
-        bins = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - BIN_BITS)
-        many = np.bincount(bins, minlength=BINS)
+    kind, bits = (np.uint32, 16) if base + room <= 1 << 16 else (np.uint64, 32)
+    mix = kind(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
+    rules = np.empty(0, kind)  # pairs as keys, in order of their symbols
+    while len(s) > 1:
+        keys = (s[:-1].astype(kind) << kind(bits)) | s[1:]
+        free = s != stop
+        counted = free[:-1] & free[1:]
+        counted[_repeats(keys)] = False
+        known = np.sort(rules)
         least = max(4, len(s) // 200_000)
-        heavy = np.flatnonzero(many >= least)
-        if not len(heavy):
-            break
-        heavy = heavy[np.lexsort((heavy, -many[heavy]))][: min(RULES_A_ROUND, room - len(rules))]
-        full = np.zeros(BINS, bool)
-        full[heavy] = True
-        where = np.flatnonzero(full[bins])
-        mine, a, b = bins[where], left[where], right[where]
-        speaker[mine] = np.arange(len(mine), dtype=np.int32)  # one pair speaks for its bin
-        by = speaker[mine]
-        own = (a[by] == a) & (b[by] == b) & (a != stop) & (b != stop)
-        where, mine = where[own], mine[own]
-        many = np.bincount(mine, minlength=BINS)  # of that very pair
-        heavy = heavy[many[heavy] >= least]
-        if not len(heavy):
+        named = known[:0]
+        if len(rules) < room:
+            ordered = np.sort(keys[counted])
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+            many = np.diff(np.r_[first, len(ordered)])
+            often = np.flatnonzero(many >= least)
+            named = ordered[first[often]][np.argsort(-many[often], kind="stable")]
+            if room - len(rules) < RULES_A_ROUND:
+                fresh = ~_held(known, named)
+                named = named[~fresh | (np.cumsum(fresh) <= room - len(rules))]
+            named = named[:RULES_A_ROUND]
+        new = ~_held(known, named)
+        if not len(named):  # what overlaps have left of the rules' pairs
+            named, new = rules, np.zeros(len(rules), bool)
+        marked = np.zeros(1 << MARK_BITS, bool)
+        marked[(named * mix) >> kind(2 * bits - MARK_BITS)] = True
+        at = np.flatnonzero(marked[(keys * mix) >> kind(2 * bits - MARK_BITS)] & counted)
+        order = np.argsort(named)
+        found = order[np.minimum(np.searchsorted(named, keys[at], sorter=order), len(named) - 1)] if len(named) else at[:0]
+        hit = named[found] == keys[at]
+        at, mine = at[hit], found[hit]
+        if not len(at):
             break
-        symbol = np.zeros(BINS, np.uint32)
-        symbol[heavy] = base + len(rules) + np.arange(len(heavy), dtype=np.uint32)
-        made = symbol[mine]
-        at, made = where[made > 0], made[made > 0]
-        head = np.r_[True, at[1:] != at[:-1] + 1]
-        if not head.all():  # overlapping occurrences: every second one from the left
-            begin = np.maximum.accumulate(np.where(head, at, 0))
-            chosen = (at - begin) % 2 == 0
-            at, made = at[chosen], made[chosen]
-        rules += list(zip(a[speaker[heavy]].tolist(), b[speaker[heavy]].tolist(), strict=True))
+        close = at[1:] == at[:-1] + 1
+        best = np.ones(len(at), bool)
+        best[1:] &= ~close | (mine[1:] < mine[:-1])
+        best[:-1] &= ~close | (mine[:-1] < mine[1:])
+        at, mine = at[best], mine[best]
+        # A pair of a rule is replaced wherever it is left; a new one that its neighbours took is counted again next round.
+        made = new & (np.bincount(mine, minlength=len(named)) >= least)
+        symbol = np.zeros(len(named), np.uint32)
+        by = np.argsort(rules)
+        symbol[~new] = base + by[np.searchsorted(known, named[~new])]
+        symbol[made] = base + len(rules) + np.arange(made.sum(), dtype=np.uint32)
+        rules = np.r_[rules, named[made]]
+        used = (made | ~new)[mine]
+        at, mine = at[used], mine[used]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s[at] = made
-        few = len(at) < len(s) // 50
+        s[at] = symbol[mine]
         s = s[keep]
-        if few:
-            break
-    return s, np.array(rules, np.uint32).reshape(-1, 2)
+    return s, np.stack([rules >> kind(bits), rules & kind((1 << bits) - 1)], 1).astype(np.uint32)
+
+
+def _held(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -117,32 +142,45 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 def sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """How many ids each symbol stands for."""
-    table = np.ones(base + len(lengths), np.int64)
-    table[base:] = lengths
-    return table[symbols]
+    out = np.ones(len(symbols), np.int64)
+    long = symbols >= base
+    out[long] = lengths[symbols[long] - base]
+    return out
 
 
 class Grammar:
-    """Expands symbols: the ids of every symbol are laid out once, terminals first."""
+    """Expands symbols. The ids of every symbol of at most ``LAID_OUT`` ids are laid out once, terminals
+    first; longer ones are taken apart into these, so memory doesn't grow with the expansions."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
-        self.base, self.lengths = base, lengths
-        parts: list[bytes] = []
-        for a, b in rules.tolist():
-            parts.append((parts[a - base] if a >= base else struct.pack("<I", a)) + (parts[b - base] if b >= base else struct.pack("<I", b)))
-        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(parts), "<u4")])
-        wide = np.cumsum(lengths.astype(np.int64))
-        self.at = np.concatenate([np.arange(base), base + wide - lengths])
+        self.base, self.lengths, self.rules = base, lengths, rules
+        self.short = np.r_[np.ones(base, bool), lengths <= LAID_OUT]
+        parts: list[bytes | None] = []
+        for (a, b), n in zip(rules.tolist(), lengths.tolist(), strict=True):
+            parts.append((parts[a - base] if a >= base else struct.pack("<I", a)) + (parts[b - base] if b >= base else struct.pack("<I", b)) if n <= LAID_OUT else None)
+        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), np.frombuffer(b"".join(p for p in parts if p), "<u4")])
+        laid = np.where(self.short[base:], lengths, 0).astype(np.int64)
+        self.at = np.concatenate([np.arange(base), base + np.cumsum(laid) - laid])
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         return sizes(symbols, self.lengths, self.base)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.sizes(symbols)
-        ends = np.cumsum(size)
-        step = np.repeat(self.at[symbols] - (ends - size), size)
-        step += np.arange(len(step))
-        return self.flat[step]
+        to = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        while len(symbols):
+            short = self.short[symbols]
+            n, s = size[short], symbols[short]
+            ends = np.cumsum(n)
+            within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+            out[np.repeat(to[short], n) + within] = self.flat[np.repeat(self.at[s], n) + within]
+            pair, to = self.rules[symbols[~short] - self.base], to[~short]
+            sides = self.sizes(pair[:, 0])
+            to = np.concatenate([to, to + sides])
+            symbols = np.concatenate([pair[:, 0], pair[:, 1]])
+            size = np.concatenate([sides, self.sizes(pair[:, 1])])
+        return out
 
 
 def pack_block(docs: list[tuple[int | None, np.ndarray]], stop: int, terminals: int) -> tuple[bytes, dict]:

@@ -184,6 +184,29 @@ def test_grammar_random_access():
         assert repair_store.Block(raw).everything()[0].tolist() == ids
 
 
+def test_grammar_is_whole():
+    rng = np.random.default_rng(4)
+    copy = np.append(rng.integers(2, 400, 1000), 1).astype(np.uint32)
+    symbols, rules = repair_store.learn(np.tile(copy, 100), 1, 400)
+    assert len(symbols) == 200  # a symbol and the end id for each copy
+    block = repair_store.Block(repair_store.pack_block([(k, copy) for k in range(100)], 1, 400)[0])
+    assert all(x.tolist() == copy.tolist() for x in block.everything()) and block.ids_between(7, 333, 700).tolist() == copy[333:700].tolist()
+    for top, n in ((12, 3000), (3000, 120_000)):  # many pairs share a hash bin in the second
+        ids = np.minimum(rng.zipf(1.3, n), top).astype(np.uint32)
+        symbols, rules = repair_store.learn(ids, 1, top + 1)
+        left, last = Counter(), {}
+        for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            if 1 not in pair and last.get(pair) != k - 1:
+                left[pair] += 1
+                last[pair] = k
+        assert max(left.values()) < 4 and len(set(map(tuple, rules.tolist()))) == len(rules)
+        lengths = repair_store.expansion_lengths(rules, top + 1)
+        assert repair_store.Grammar(rules, lengths, top + 1).expand(symbols).tolist() == ids.tolist()
+    for room in (5, 300):
+        symbols, rules = repair_store.learn(ids, 1, 3001, 3001 + room)
+        assert len(rules) == room
+
+
 def test_archives(spark):
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://b", "é" * 5000), (None, "n", "same"), (2, "http://a/2", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
