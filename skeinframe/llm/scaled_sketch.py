@@ -5,8 +5,9 @@ below a fixed share (1/``SCALE``) of the hash range. The same hashes survive in
 every document, so sketches can be merged by union, and the overlap of two gives
 unbiased containment and likeness even for very unequal lengths. A document of
 fewer than five words has one shingle, its whole word sequence. If no hash lies
-below the threshold, the smallest one is kept (a one-value MinHash), so that
-short documents can be compared too.
+below the threshold, the smallest one is kept (a one-value MinHash: two sketches
+agree in it with the chance of their likeness), so that short documents can be
+compared too. Such a sketch says nothing of containment, which is null for it.
 
 All of it is row-local: one scan, no shuffle, no Python.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, SCALE = 5, 8
+WIDTH, SCALE = 5, 2
 
 
 def words(text: Column) -> Column:
@@ -34,7 +35,6 @@ def words(text: Column) -> Column:
 
 def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
     """Sorted distinct shingle hashes below 1/scale of the range (or the smallest)."""
-    most = -(1 << 63) + (1 << 64) // scale - 1
     # Word hashes once, then a shingle's hash from them: no strings are built per shingle.
     h = F.transform(words(text), lambda w: F.xxhash64(w))
 
@@ -42,12 +42,18 @@ def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(width)]))
         return F.when(F.size(h) >= width, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    def chosen(s: Column) -> Column:
-        low = F.filter(s, lambda x: x <= F.lit(most))
-        return F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))
-
     # let() keeps each intermediate array evaluated once per row.
-    return F.array_sort(F.array_distinct(_let(_let(h, shingles), chosen)))
+    return F.array_sort(F.array_distinct(_let(_let(h, shingles), lambda s: _chosen(s, scale))))
+
+
+def _most(scale: int) -> int:
+    """The largest hash that is below 1/scale of the range."""
+    return -(1 << 63) + (1 << 64) // scale - 1
+
+
+def _chosen(s: Column, scale: int) -> Column:
+    low = F.filter(s, lambda x: x <= F.lit(_most(scale)))
+    return F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))
 
 
 def _let(value: Column, body) -> Column:
@@ -67,14 +73,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too (1 if a is empty)."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a).cast("double"))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has too (1 if a is empty; null if a has no hash below
+    the threshold: a longer b would not have kept it)."""
+    share = F.size(F.array_intersect(a, b)) / F.size(a).cast("double")
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.array_min(a) <= F.lit(_most(scale)), share)
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two documents' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.array_sort(_let(F.array_union(a, b), lambda s: _chosen(s, scale)))
 
 
 def with_next_text(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from skeinframe.llm import bpe, external_shuffle, hyperminhash, knn_quality, line_rules, queries, repair_store, scaled_sketch, temperature_mix, token_counts, warc_zip
 
@@ -262,6 +263,31 @@ def test_sketches(spark, docs, odd):
     assert len(nulls) == len(odd_rows())
 
 
+def test_sketch_error_by_length(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k, n in enumerate([12] * 80 + [25] * 80 + [60] * 80 + [300] * 40):
+        a = [f"a{k}-{i}" for i in range(n)]
+        b = a[: rng.randrange(n // 2, n)] + [f"b{k}-{i}" for i in range(n // 4)]
+        rows.append((k, " ".join(a), " ".join(b), " ".join(["before", *a, "after", *b])))
+        x, y = sets_raw(rows[-1][1]), sets_raw(rows[-1][2])
+        want.append((n, len(x & y) / len(x | y)))
+    df = spark.createDataFrame(rows, "id long, a string, b string, whole string")
+    sk = df.select("id", *[scaled_sketch.sketch(F.col(c)).alias(c.upper()) for c in ("a", "b", "whole")])
+    got = sk.select("id", scaled_sketch.likeness(F.col("A"), F.col("B")).alias("j"), scaled_sketch.containment(F.col("A"), F.col("WHOLE")).alias("in")).collect()
+    errors = defaultdict(list)
+    for r in got:
+        n, j = want[r["id"]]
+        errors[n].append(abs(r["j"] - j))
+        assert r["in"] in (1.0, None)
+    assert [n for n, most in ((12, 0.18), (25, 0.12), (60, 0.075), (300, 0.035)) if np.mean(errors[n]) > most] == [], {n: np.mean(e) for n, e in errors.items()}
+    short = spark.createDataFrame([(f"word{i}", f"longer text {i} of which the word is no shingle at all word{i}") for i in range(60)], "a string, b string")
+    short = short.select(*[scaled_sketch.sketch(F.col(c)).alias(c) for c in ("a", "b")])
+    few = short.select("a", scaled_sketch.containment(F.col("a"), F.col("a")).alias("own"), scaled_sketch.merged(F.col("a"), F.col("b")).alias("m")).collect()
+    assert {r["own"] for r in few} == {1.0, None} and all((r["own"] is None) == (r["a"][0] >= 0) for r in few)
+    assert all(x < 0 for r in few if len(r["m"]) > 1 for x in r["m"])
+
+
 def sets_raw(t):
     w = WORD.findall(t)
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
