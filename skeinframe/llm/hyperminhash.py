@@ -28,7 +28,7 @@ shared folder; nothing of a size that grows with the corpus reaches the driver.
 Defined results: a text without words (null or empty too) has no shingles, is
 linked with nothing and is its own component; a null doc_id is ordered last, and
 is its own (null) component unless a copy has an id; rows that repeat a doc_id each
-take the component of their own text; extra columns are ignored.
+take the component of their own text (classes are nodes, not ids); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,11 +111,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1), used
 
 
+def text_key(docs: DataFrame):
+    """With the doc_id it tells rows apart: rows that repeat an id may have different texts."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, regs, keys) of every row; not stored. Sets too small to
+    """(doc_id, tkey, n_shingles, set_id, regs, keys) of every row; not stored. Sets too small to
     reach the threshold with any other set have no keys: only equal sets join them."""
     common.ship(docs.sparkSession)
-    schema = "doc_id long, n_shingles long, set_id binary, regs binary, keys array<long>"
+    schema = "doc_id long, tkey long, n_shingles long, set_id binary, regs binary, keys array<long>"
 
     def run(batches):
         for batch in common.slices(batches, "text"):
@@ -127,32 +132,33 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(r.tobytes())
                 keys.append(band_keys(r) if 100 * len(s) >= percent * (len(s) + 1) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "regs", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n_shingles", "set_id", "regs", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("tkey")).mapInArrow(run, schema)
 
 
 def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold; stored."""
-    one = lambda p: reps.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("set_id").alias(f"s{p}"), F.col("regs").alias(f"r{p}"))
+    one = lambda p: reps.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("set_id").alias(f"s{p}"), F.col("regs").alias(f"r{p}"), F.struct(F.col("rid").alias("rid"), "doc_id", "tkey").alias(f"w{p}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def likely(batches):
         t = percent / 100
         for batch in batches:
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (4, 5)]
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (6, 7)]
             j, used = estimate(*regs)
             keep = pa.array(j + 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) >= t)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "sa", "sb"]).filter(keep)
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], names=["a", "b", "sa", "sb", "wa", "wb"]).filter(keep)
 
-    close = common.stored(both.select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(likely, "a long, b long, sa binary, sb binary"), "likely")
+    row = "struct<rid: long, doc_id: long, tkey: long>"
+    close = common.stored(both.select("a", "b", "sa", "sb", "wa", "wb", "ra", "rb").mapInArrow(likely, f"a long, b long, sa binary, sb binary, wa {row}, wb {row}"), "likely")
     if close.isEmpty():
         return close.select("a", "b")
-    needed = common.stored(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    needed = common.stored(close.select(F.explode(F.array("wa", "wb")).alias("w")).select("w.*").distinct(), "needed")
     few = needed.count() <= BROADCAST_ROWS
-    texts = common.stored(docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, "doc_id"), "texts")
-    named = lambda p: texts.select(F.col("doc_id").alias(p), F.col("text").alias(f"t{p}"))
+    texts = common.stored(docs.select("doc_id", "text", text_key(docs).alias("tkey")).join(F.broadcast(needed) if few else needed, ["doc_id", "tkey"]).select("rid", "text"), "texts")
+    named = lambda p: texts.select(F.col("rid").alias(p), F.col("text").alias(f"t{p}"))
     rows = close.join(named("b"), "b").join(named("a"), "a").select("a", "b", "sa", "sb", "ta", "tb")
 
     def confirmed(batches):
@@ -235,9 +241,8 @@ def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, st
     components: with s other shingles of n, and a partner of at least m shingles, similarity is
     at most s / (m + n - s). Members below the threshold by that bound have no such link and
     leave; then more shingles are exclusive, so the step is repeated."""
-    ids = common.stored(now.select("rid").distinct().join(reps.select("rid", "n", "set_id"), "rid"), "open-ids")
-    wanted = ids.select(F.col("rid").alias("doc_id"), "set_id", "n")
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if ids.count() <= BROADCAST_ROWS // 4 else wanted, "doc_id")
+    ids = common.stored(now.select("rid").distinct().join(reps.select("rid", "n", "set_id", "doc_id", "tkey"), "rid"), "open-ids")
+    texts = docs.select("doc_id", "text", text_key(docs).alias("tkey")).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS // 4 else ids, ["doc_id", "tkey"])
 
     def spread(batches):
         for whole in batches:
@@ -246,7 +251,7 @@ def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, st
                 arrays = [[] if x is None else x.view(np.int64).tolist() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(arrays, pa.list_(pa.int64()))], names=["rid", "n", "tokens"])
 
-    tokens = common.stored(texts.select("doc_id", "text", "set_id", "n").mapInArrow(spread, "rid long, n long, tokens array<long>"), "open-shingles")
+    tokens = common.stored(texts.select("rid", "text", "set_id", "n").mapInArrow(spread, "rid long, n long, tokens array<long>"), "open-shingles")
     sizes = ids.select("rid", "n")
     for _ in range(steps):
         smallest = now.join(sizes, "rid").groupBy("key").agg(F.min("n").alias("m"))
@@ -266,15 +271,22 @@ def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, st
 
 def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``groups`` with two more columns: tkey of the row's text, and group, equal in all rows of a group."""
     drawn = common.stored(sketches(docs, percent), "sketches")
     # min over (id is null, id): a class with any id is named by its smallest
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("first")
-    classes = common.stored(drawn.filter("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", F.col("first.doc_id").alias("rid"), "copies"), "classes")
-    # One row per class: rows that share id and text are equal in every column here.
-    own = drawn.filter("n_shingles > 0").select("set_id", F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "regs", "keys")
-    named = classes.filter("rid is not null").select("set_id", "rid", "copies")
+    classes = common.stored(drawn.filter("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", "first.doc_id", "copies"), "classes")
+    named = classes.filter("doc_id is not null")
+    # A class is the node named by its smallest id. Where an id names several, they are numbered in the same order.
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    named = common.stored(named.orderBy("doc_id", "set_id").withColumn("rid", F.monotonically_increasing_id()), "nodes") if repeated else named.withColumn("rid", F.col("doc_id"))
+    own = drawn.filter("n_shingles > 0").select("set_id", "doc_id", "tkey", F.col("n_shingles").alias("n"), "regs", "keys")
     # One row per class, though rows may repeat an id and text.
-    reps = common.stored(own.join(named, ["set_id", "rid"]).select("rid", "n", "set_id", "regs", "keys").dropDuplicates(["set_id"]), "reps")
+    reps = common.stored(own.join(named.drop("copies"), ["set_id", "doc_id"]).select("rid", "doc_id", "tkey", "n", "set_id", "regs", "keys").dropDuplicates(["set_id"]), "reps")
 
     spread = reps.select("rid", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rid").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -305,19 +317,28 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
                 labels = common.stored(components(links.unionAll(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
         open_ = now.select("key", "rid").join(lead.select("key", F.col("lead").alias("rid")), ["key", "rid"], "left_anti")
 
-    linked = classes.filter("rid is not null").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-    named = common.stored(linked.filter("copies > 1 or comp is not null").select("set_id", F.coalesce("comp", "rid").alias("comp")), "named")
-    out = drawn.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    linked = named.join(labels.withColumnRenamed("node", "rid"), "rid", "left").filter("copies > 1 or comp is not null").select("set_id", F.coalesce("comp", "rid").alias("comp"))
+    names = named.select(F.col("rid").alias("comp"), F.col("doc_id").alias("first")) if repeated else None
+    linked = common.stored(linked.join(names, "comp") if repeated else linked.withColumn("first", F.col("comp")), "named")
+    out = drawn.select("doc_id", "tkey", "n_shingles", "set_id").join(linked, "set_id", "left")
+    alone = F.concat_ws(" ", F.lit("t"), "doc_id", "tkey")  # no shingles: equal to nothing but itself
+    group = F.coalesce(F.concat(F.lit("c"), F.col("comp").cast("string")), F.concat(F.lit("s"), F.hex("set_id")), alone)
+    out = out.select("doc_id", "tkey", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), group.alias("group"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that a smaller doc_id of their group stands for; of rows that repeat
-    a doc_id one stays."""
-    found = common.stored(groups(docs, percent), "near-groups")
-    gone = common.stored(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "removed")
+    """``docs`` with one row of each group, of the smallest doc_id. What goes is decided by id and text,
+    so a text stays that only shares its id with one that goes; rows equal in both count once."""
+    found = common.stored(_grouped(docs, percent), "near-groups")
+    kept = found.filter("kept")
+    # A group's smallest id may stand on several texts of it: one stays.
+    several = kept.groupBy("group").agg(F.min("tkey").alias("least"), F.max("tkey").alias("most")).filter("least <> most").select("group", "least")
+    others = kept.join(several, "group").filter("tkey <> least")
+    gone = found.filter("not kept").select("doc_id", "tkey").unionAll(others.select("doc_id", "tkey")).distinct()
+    gone = common.stored(gone.select(F.col("doc_id").alias("__gone"), F.col("tkey").alias("__gone_key")), "removed")
     few = gone.count() <= BROADCAST_ROWS
-    rest = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id"]) if again else rest
+    rest = docs.withColumn("__tkey", text_key(docs))
+    rest = rest.join(F.broadcast(gone) if few else gone, rest["doc_id"].eqNullSafe(gone["__gone"]) & (rest["__tkey"] == gone["__gone_key"]), "left_anti")
+    again = kept.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return (rest.dropDuplicates(["doc_id", "__tkey"]) if again else rest).drop("__tkey")

@@ -107,6 +107,24 @@ def test_near_groups_odd_rows(odd, spark):
     assert hyperminhash.groups(empty).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """Repeated and null ids: what is no duplicate stays, and of each group one row."""
+    long = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    near = lambda k: long(k).replace(f"{k}40", "changed")
+    rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, near("a")), (3, long("c")), (4, long("d")), (4, long("e")), (5, near("e")), (6, long("f")), (6, long("f")), (6, near("f"))]
+    rows += [(None, long("g")), (None, long("h")), (None, long("h")), (None, long("a")), (7, ""), (7, ""), (7, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = hyperminhash.keep_one(df.withColumn("more", F.lit(1)), 80)
+    assert got.columns == ["doc_id", "text", "more"]
+    got = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    f = [k for k in got if k[0] == 6]
+    assert len(f) == 1 and f[0][1] in (long("f"), near("f"))
+    want = [(1, long("a")), (2, long("b")), (3, long("c")), (4, long("d")), (4, long("e")), (None, long("g")), (None, long("h")), (7, ""), (7, None), (None, ""), (None, None)]
+    assert got == Counter([*want, *f])
+    ids = {(r["doc_id"], r["component_id"]) for r in hyperminhash.groups(df, 80).collect()}
+    assert {(3, 1), (3, 3), (5, 4), (2, 1), (2, 2), (None, 1)} <= ids
+
+
 def test_register_estimate():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
