@@ -175,6 +175,11 @@ def join_where(t):
     return left.join_where(right, c("p_size") < c("s_nationkey"), c("k") == c("k2")).select("p_partkey", "s_suppkey")
 
 
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
+def join_where_nation(t):
+    return t.customer.join_where(t.supplier, c("c_nationkey") == c("s_nationkey"), c("c_acctbal") < c("s_acctbal")).select("c_custkey", "s_suppkey")
+
+
 @query("SELECT o_orderkey, lo FROM orders JOIN (SELECT c_custkey * 100.0::DOUBLE AS lo, c_custkey * 100.0::DOUBLE + 250.0 AS hi FROM customer) ON o_totalprice >= lo AND o_totalprice < hi")
 def join_range_buckets(t):
     spans = t.customer.select((c("c_custkey") * lit(100.0)).alias("lo"), (c("c_custkey") * lit(100.0) + lit(250.0)).alias("hi"))
@@ -414,6 +419,11 @@ def explode_list(t):
     return t.embeddings.filter(c("vec_id") < 20).select("vec_id", c("embedding").alias("e")).explode("e").select("vec_id", c("e").cast("float64"))
 
 
+@query("SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings")
+def explode_list_all(t):
+    return t.embeddings.select("vec_id", c("embedding").alias("e")).explode("e").select("vec_id", c("e").cast("float64"))
+
+
 @query("UNPIVOT (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) ON l_discount, l_tax INTO NAME variable VALUE value")
 def unpivot(t):
     return t.lineitem.unpivot(on=["l_discount", "l_tax"], index=["l_orderkey", "l_linenumber"])

@@ -53,6 +53,17 @@ def test_cleaning(make):
     assert rows["total"] == [1, 1, 3] and rows["before"] == [None, 1, None] and rows["run"] == [1, None, 4]
 
 
+def test_join_where_inequality_only(make):
+    left, right = make(a=i32(1, 5, 9, None)).lazy(), make(b=i32(0, 5, 7, None)).lazy()
+    rows = left.join_where(right, col("a") < col("b")).collect().to_dicts()
+    assert sorted((r["a"], r["b"]) for r in rows) == [(1, 5), (1, 7), (5, 7)]
+
+
+def test_explode_whole_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("sum(size(embedding)) AS n").first()
+    assert catalog.QUERIES["explode_list_all"](spark, DATA).count() == rows["n"]
+
+
 def test_distinct_join_concat(make):
     f = make(key=i32(1, 1, 2), value=i32(10, 20, 30))
     assert sorted(values(f.distinct("key", keep="last"), "value")) == [20, 30]
