@@ -16,9 +16,9 @@
    have a link with any (an exact bound) leave, and 16 times as many leaders are taken for the next round. No
    pair of different components stays unseen, so no link that matters is lost,
    and a group of m near copies costs about m comparisons.
-5. A pair is first judged by set sizes and by the collision-corrected Jaccard
-   estimate of its registers (dropped only if five standard errors below the
-   threshold), then confirmed on the full shingle sets of both texts.
+5. A pair is first judged by set sizes and by the number of its
+   equal registers (dropped only if they are fewer than a pair at the threshold
+   has with a chance of ``MISS``, by the binomial tail), then confirmed on the full shingle sets of both texts.
 6. Components: alternating large-star and small-star steps over the links.
 
 Hot keys and hot leaders: keys are counted with partial aggregation, then joined
@@ -50,6 +50,7 @@ LEADERS_GROW = 16
 PRUNE_FROM = 20_000  # open memberships from which the exact bound on shingles is applied first
 #: Chance that two different minima give equal registers: sum over leading-zero counts of 4^-k, times 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
+MISS = 1e-11  # chance that the registers drop a pair at the threshold: less than that of the bands at 0.80 and 0.85
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -116,6 +117,13 @@ def text_key(docs: DataFrame):
     return F.xxhash64(docs["text"].cast("string"))
 
 
+def fewest_equal(percent: int) -> np.ndarray:
+    """By registers in use: the fewest equal ones with which a pair is not dropped."""
+    t = percent / 100
+    tails = [np.cumsum([math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(n + 1)]) for n in range(REGISTERS + 1)]
+    return np.array([int((tail <= MISS).sum()) for tail in tails])
+
+
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, tkey, n_shingles, set_id, regs, keys) of every row; not stored. Sets too small to
     reach the threshold with any other set have no keys: only equal sets join them."""
@@ -143,12 +151,13 @@ def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) ->
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
+    fewest = fewest_equal(percent)
+
     def likely(batches):
-        t = percent / 100
         for batch in batches:
             regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (6, 7)]
-            j, used = estimate(*regs)
-            keep = pa.array(j + 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) >= t)
+            a, b = regs
+            keep = pa.array(((a == b) & (a > 0)).sum(1) >= fewest[((a > 0) | (b > 0)).sum(1)])
             yield pa.RecordBatch.from_arrays(batch.columns[:6], names=["a", "b", "sa", "sb", "wa", "wb"]).filter(keep)
 
     row = "struct<rid: long, doc_id: long, tkey: long>"
@@ -190,7 +199,7 @@ def _set_of(text: str | None, set_id: bytes) -> np.ndarray | None:
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b): comp is the smallest node of its
-    component. Large-star and small-star steps until nothing changes."""
+    component. Large-star and small-star steps until nothing changes; an error if ``most`` don't suffice."""
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     now = common.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
@@ -209,6 +218,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = common.stored(small, "cc")
+    else:
+        raise RuntimeError(f"components have not settled after {most} steps")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -133,6 +134,21 @@ def test_register_estimate():
     assert abs(j[0] - 3000 / 5000) < 0.2
 
 
+@pytest.mark.parametrize(("percent", "band"), [(80, 5e-8), (85, 5e-11)])
+def test_register_filter_misses_less_than_bands(percent, band):
+    n, t = hyperminhash.REGISTERS, percent / 100
+    few = hyperminhash.fewest_equal(percent)
+    miss = lambda n: sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(int(few[n])))
+    assert max(map(miss, range(n + 1))) < band and 0.5 < few[n] / n < t
+
+
+def test_components_settle_or_fail(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    assert {r["comp"] for r in hyperminhash.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        hyperminhash.components(chain, most=2)
+
+
 def fuzz():
     rng = random.Random(1)
     letters = list("ab aA\n\t  éÉΣσß漢字😀\x1c\x85\xa0 0١'st!!́<|endoftext|>")
