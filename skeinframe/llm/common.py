@@ -38,28 +38,62 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is made only where the setting is absent."""
+    """The shared folder, as a URI. One is made only where the setting is absent and the driver
+    and its executors are one machine; on a cluster the setting must be there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, as a URI."""
-    root = shared_root(spark)
-    if "://" not in root:
-        root = "file://" + os.path.abspath(root) if root.startswith("/") else root
-    return f"{root}/skein-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder, as a URI; a path without a scheme is the default filesystem's."""
+    path, _ = _hadoop(spark, f"{shared_root(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}")
+    uri = path.toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    """(qualified path, filesystem) of a URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path), fs
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts
-    lineage, survives lost executors, and is computed once however often read."""
+    lineage, survives lost executors, and is computed once however often read.
+    It stays there until ``dropped``."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.skein_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in frames:
+        path, fs = _hadoop(df.sparkSession, df.skein_path)
+        fs.delete(path, True)
+
+
+class Tables:
+    """The stored tables of one computation, deleted together once its result is stored."""
+
+    def __init__(self):
+        self.all: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.all.append(stored(df, name))
+        return self.all[-1]
+
+    def drop(self, *, but: tuple = ()) -> None:
+        dropped(*[df for df in self.all if not any(df is x for x in but)])
+        self.all = [df for df in self.all if any(df is x for x in but)]
 
 
 def put_file(uri: str, chunks: list[bytes]) -> int:

@@ -3,31 +3,39 @@
 1. Sketch (one pass): the distinct 5-word shingles of a whole text as 64-bit
    hashes. The top bits of a hash choose one of ``REGISTERS`` buckets; a bucket
    stores its smallest remainder as leading-zero count and ``MANTISSA`` bits.
-2. Equal shingle sets (same 128-bit digest) form a class; its smallest doc_id
-   stands for it. Thousands of copies become one representative here.
-3. 32 bands of four compressed registers are keys (an empty register first takes the
-   value of a filled one, found by a fixed probe order); representatives that share a
-   key are candidates. A pair at similarity 0.80 is missed with probability 5e-8, one
-   at 0.85 with 5e-11.
-4. Candidates aren't all paired. In each key one leader is compared with the
-   members; links are joined into components; a member that was a leader has met
-   everyone and leaves. A key is done when those that have not led are all in one
-   component. Otherwise members that share too few shingles with other components to
-   have a link with any (an exact bound) leave, and 16 times as many leaders are taken for the next round. No
-   pair of different components stays unseen, so no link that matters is lost,
-   and a group of m near copies costs about m comparisons.
-5. A pair is first judged by set sizes and by the number of its
-   equal registers (dropped only if they are fewer than a pair at the threshold
-   has with a chance of ``MISS``, by the binomial tail), then confirmed on the full shingle sets of both texts.
-6. Components: alternating large-star and small-star steps over the links.
-
-Hot keys and hot leaders: keys are counted with partial aggregation, then joined
+2. Equal shingle sets (same 128-bit digest) form a class; the row of its smallest
+   doc_id stands for it. Thousands of copies become one node here.
+3. ``BANDS`` bands of ``ROWS`` compressed registers are keys (an empty register first
+   takes the value of a filled one, found by a fixed probe order); nodes that share a
+   key are candidates. A pair at similarity 0.80 is missed with probability 3e-8, one
+   at 0.85 with 7e-12.
+4. Bound. A shingle that no other candidate has is in no intersection. With s other
+   shingles of n, a partner has at most ``reach = s (1 + t) / t - n`` shingles, t the
+   threshold. Candidates whose keys hold no partner within mutual reach leave. This is exact
+   and takes two aggregations, by shingle and by node, with no pairs.
+5. Candidates aren't all paired. In each key the node with the largest share of common
+   shingles, nearest to what the others have in common, leads and is compared with the members
+   within reach. Links are joined into components. A key is done when its members that have not
+   led are all in one component. Otherwise members outside its largest component lead
+   in rounds, up to ``LEADERS`` a key, then ``LEADERS`` squared and so on, until it is. Two members of different
+   components within reach of each other are never left uncompared, so no link that
+   matters is lost. Members of one component are compared no more.
+6. A pair is first judged by the Jaccard estimate of its registers, corrected for chance
+   collisions (dropped only below what a pair at the threshold reaches with a chance of ``MISS``,
+   by the binomial tail), then confirmed on the full shingle sets. A leader's
+   set travels once for each ``CHUNK`` of its pairs.
+7. Components: alternating large-star and small-star steps over the links.
+
+What stays dear: a family of m texts that all lie within reach of each other, yet are not
+linked and have no common neighbour, needs about m^2 / 2 comparisons.
+
+Hot keys and hot leaders: keys and shingles are counted with partial aggregation, then joined
 from stored tables, so that AQE can split them. Every step's result is stored in the
 shared folder; nothing of a size that grows with the corpus reaches the driver.
 
 Defined results: a text without words (null or empty too) has no shingles, is
-linked with nothing and is its own component; a null doc_id is ordered last, and
-is its own (null) component unless a copy has an id; rows that repeat a doc_id each
+linked with nothing and is its own component; a null doc_id comes after all others, and a
+component of null ids only has a null component_id; rows that repeat a doc_id each
 take the component of their own text (classes are nodes, not ids); extra columns are ignored.
 """
 
@@ -43,14 +51,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-REGISTERS, MANTISSA, WIDTH = 128, 10, 5
+REGISTERS, MANTISSA, WIDTH = 256, 10, 5
+BANDS, ROWS = 44, 5
 PROBES = 256
 BROADCAST_ROWS = 2_000_000  # ids (8 bytes each) that may be broadcast; beyond, a shuffled join
-LEADERS_GROW = 16
-PRUNE_FROM = 20_000  # open memberships from which the exact bound on shingles is applied first
+LEADERS = 64
+CHUNK = 256  # pairs that share one copy of their leader's set
 #: Chance that two different minima give equal registers: sum over leading-zero counts of 4^-k, times 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
-MISS = 1e-11  # chance that the registers drop a pair at the threshold: less than that of the bands at 0.80 and 0.85
+MISS = 1e-12  # chance that the registers drop a pair at the threshold: less than that of the bands at 0.80 and 0.85
+_ODD = common.mix64(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_BAND = common.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -100,9 +111,9 @@ def filled(regs: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A key per band of four compressed registers."""
-    fours = filled(regs).view(np.uint64)
-    return common.mix64(fours ^ common.mix64(np.arange(1, len(fours) + 1, dtype=np.uint64))).view(np.int64)
+    """A key per band of compressed registers."""
+    rows = filled(regs)[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    return common.mix64((rows * _ODD).sum(1) ^ _BAND).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,85 +135,116 @@ def fewest_equal(percent: int) -> np.ndarray:
     return np.array([int((tail <= MISS).sum()) for tail in tails])
 
 
+def _digest(s: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, tkey, n_shingles, set_id, regs, keys) of every row; not stored. Sets too small to
-    reach the threshold with any other set have no keys: only equal sets join them."""
+    """(doc_id, tkey, n_shingles, s1, s2, keys) of every row; not stored. s1 and s2 are the digest of the
+    shingle set. Sets too small to reach the threshold with any other set have no keys: only equal sets join them."""
     common.ship(docs.sparkSession)
-    schema = "doc_id long, tkey long, n_shingles long, set_id binary, regs binary, keys array<long>"
+    schema = "doc_id long, tkey long, n_shingles long, s1 long, s2 long, keys array<long>"
 
     def run(batches):
         for batch in common.slices(batches, "text"):
-            n, ids, regs, keys = [], [], [], []
+            n, ids, keys, ends = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
-                r = registers(s)
                 n.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                regs.append(r.tobytes())
-                keys.append(band_keys(r) if 100 * len(s) >= percent * (len(s) + 1) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n_shingles", "set_id", "regs", "keys"])
+                ids.append(_digest(s))
+                if 100 * len(s) >= percent * (len(s) + 1):
+                    keys.append(band_keys(registers(s)))
+                ends.append(len(keys) * BANDS)
+            ids, n = np.stack(ids), np.array(n)
+            values = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids[:, 0], mask=n == 0), pa.array(ids[:, 1], mask=n == 0), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tkey", "n_shingles", "s1", "s2", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("tkey")).mapInArrow(run, schema)
 
 
-def _judged(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; stored."""
-    one = lambda p: reps.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("set_id").alias(f"s{p}"), F.col("regs").alias(f"r{p}"), F.struct(F.col("rid").alias("rid"), "doc_id", "tkey").alias(f"w{p}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def _shingles(docs: DataFrame, nodes: DataFrame, members: DataFrame, work: common.Tables) -> DataFrame:
+    """(rid, n, regs, hashes) of every node in ``members``, read again from its text; stored."""
+    ids = work.stored(members.select("rid").distinct().join(nodes.select("rid", "n", "doc_id", "tkey"), "rid"), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("__key"))
+    few = ids.count() <= BROADCAST_ROWS // 4
+    texts = texts.join(F.broadcast(ids) if few else ids, texts["__id"].eqNullSafe(ids["doc_id"]) & (texts["__key"] == ids["tkey"]))
+    texts = texts.select("rid", "n", "text").dropDuplicates(["rid"])  # rows that repeat an id and text
 
-    fewest = fewest_equal(percent)
+    def run(batches):
+        for batch in common.slices(batches, "text"):
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([registers(s).tobytes() for s in sets], pa.binary()), lists], names=["rid", "n", "regs", "hashes"])
+
+    return work.stored(texts.mapInArrow(run, "rid long, n long, regs binary, hashes array<long>"), "shingles")
+
+
+def _within_reach(members: DataFrame, tokens: DataFrame, percent: int, work: common.Tables) -> DataFrame:
+    """(key, rid, n, reach, share) of the members that share a key with another one that can be
+    a partner. ``share`` is the part of a node's shingles, in millionths, that others have too; stored."""
+    alone = tokens.select("rid", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("rid").alias("rid"), F.max("rid").alias("last"))
+    alone = alone.filter("rid = last").groupBy("rid").agg(F.count(F.lit(1)).alias("u"))
+    common_n = F.col("n") - F.coalesce("u", F.lit(0))
+    reach = F.floor(common_n * (100 + percent) / percent + 1e-6) - F.col("n")
+    sizes = work.stored(tokens.select("rid", "n").join(alone, "rid", "left").select("rid", "n", reach.alias("reach"), F.floor(common_n * 1_000_000 / F.col("n")).alias("share")), "reach")
+    now = members.select("key", "rid").join(sizes, "rid")
+    ends = now.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    now = work.stored(now.join(ends, "key").filter("least <= reach and n <= most").drop("least", "most"), "reaching")
+    return work.stored(_several(now, "rid"), "open")
+
+
+def _several(members: DataFrame, column: str) -> DataFrame:
+    """The members whose key holds more than one value of ``column``."""
+    keys = members.groupBy("key").agg(F.min(column).alias("x"), F.max(column).alias("y")).filter("x <> y").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _confirmed(pairs: DataFrame, tokens: DataFrame, percent: int, work: common.Tables) -> DataFrame:
+    """The pairs (lead, rid) whose full shingle sets reach the threshold; stored. Rows of one leader
+    and chunk lie together, the leader's own first."""
+    parts = F.ceil(F.col("c") / CHUNK).cast("long").alias("parts")
+    chunks = work.stored(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).select("lead", parts), "chunks")
+    rows = pairs.join(chunks, "lead").select("lead", F.pmod(F.xxhash64("rid"), "parts").alias("part"), F.lit(1).alias("kind"), "rid").join(tokens, "rid")
+    heads = chunks.join(tokens.withColumnRenamed("rid", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("lead").alias("rid"), "regs", "hashes")
+    rows = rows.select(*heads.columns).unionAll(heads).repartition("lead", "part").sortWithinPartitions("lead", "part", "kind")
+    used = np.maximum(np.arange(REGISTERS + 1), 1)
+    least = (fewest_equal(percent) / used - COLLISION) / (1 - COLLISION) - 1e-9
 
-    def likely(batches):
+    def run(batches):
+        lead, lregs, lset = None, None, None
         for batch in batches:
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (6, 7)]
-            a, b = regs
-            keep = pa.array(((a == b) & (a > 0)).sum(1) >= fewest[((a > 0) | (b > 0)).sum(1)])
-            yield pa.RecordBatch.from_arrays(batch.columns[:6], names=["a", "b", "sa", "sb", "wa", "wb"]).filter(keep)
-
-    row = "struct<rid: long, doc_id: long, tkey: long>"
-    close = common.stored(both.select("a", "b", "sa", "sb", "wa", "wb", "ra", "rb").mapInArrow(likely, f"a long, b long, sa binary, sb binary, wa {row}, wb {row}"), "likely")
-    if close.isEmpty():
-        return close.select("a", "b")
-    needed = common.stored(close.select(F.explode(F.array("wa", "wb")).alias("w")).select("w.*").distinct(), "needed")
-    few = needed.count() <= BROADCAST_ROWS
-    texts = common.stored(docs.select("doc_id", "text", text_key(docs).alias("tkey")).join(F.broadcast(needed) if few else needed, ["doc_id", "tkey"]).select("rid", "text"), "texts")
-    named = lambda p: texts.select(F.col("rid").alias(p), F.col("text").alias(f"t{p}"))
-    rows = close.join(named("b"), "b").join(named("a"), "a").select("a", "b", "sa", "sb", "ta", "tb")
-
-    def confirmed(batches):
-        kept: dict = {}
-        for whole in batches:
-            for batch in common.slices(iter([whole]), "tb"):
-                keep = []
-                for a, b, sa, sb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    x = kept.get((a, sa))
-                    if x is None:
-                        if len(kept) >= 64:
-                            kept.clear()
-                        x = kept[(a, sa)] = _set_of(ta, sa)
-                    y = _set_of(tb, sb)
-                    if x is None or y is None:
-                        keep.append(False)  # another text under the same id: its own row is judged
-                        continue
-                    common_n = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common_n >= percent * (len(x) + len(y) - common_n))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return common.stored(rows.mapInArrow(confirmed, "a long, b long").distinct(), "links")
-
-
-def _set_of(text: str | None, set_id: bytes) -> np.ndarray | None:
-    s = shingle_set(text)
-    return s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == set_id else None
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+            found = []
+            hashes = batch.column(5)
+            ends, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+            regs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            for k, (a, kind, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                own = values[ends[k] : ends[k + 1]]
+                if not kind:
+                    lead, lregs, lset = a, regs[k].copy(), own.copy()
+                    continue
+                if lead != a:
+                    raise RuntimeError("a pair without its leader")
+                j, n = estimate(lregs[None], regs[k][None])
+                if j[0] < least[n[0]]:
+                    continue
+                both = len(np.intersect1d(lset, own, assume_unique=True))
+                if 100 * both >= percent * (len(lset) + len(own) - both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return work.stored(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def components(edges: DataFrame, work: common.Tables | None = None, most: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b): comp is the smallest node of its
     component. Large-star and small-star steps until nothing changes; an error if ``most`` don't suffice."""
+    work = work or common.Tables()
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    now = common.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    now = work.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     mark = None
     for _ in range(most):
         again = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -213,71 +255,69 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         ends = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
         large = ends.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = common.stored(large, "cc")
+        large = work.stored(large, "cc")
         # small star: each smaller neighbour of a node, and the node, are tied to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        now = common.stored(small, "cc")
+        now = work.stored(small, "cc")
     else:
         raise RuntimeError(f"components have not settled after {most} steps")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rid, comp) of the members whose key holds more than one component; stored."""
-    now = members.select("key", "rid").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-    now = common.stored(now, "open")
-    keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    return common.stored(now.join(keys, "key", "left_semi"), "open")
+def _unsettled(members: DataFrame, labels: DataFrame, work: common.Tables) -> DataFrame:
+    """``members`` with their component, in keys that hold more than one; stored."""
+    now = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", "reach", F.coalesce("comp", "rid").alias("comp"))
+    return work.stored(_several(now, "comp"), "unsettled")
+
+
+def _leaders(now: DataFrame, many: int, work: common.Tables) -> DataFrame:
+    """Up to ``many`` members of each key outside its largest component; stored."""
+    sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = sizes.groupBy("key").agg(F.max_by("comp", F.col("c")).alias("top"))
+    lot = F.pmod(F.xxhash64("rid", F.lit(many)), F.lit(many))
+    lead = now.join(top, "key").filter("comp <> top").groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rid", "comp", "n", "reach")).alias("l"))
+    return work.stored(lead.select("key", F.col("l.rid").alias("lead"), F.col("l.comp").alias("lcomp"), F.col("l.n").alias("ln"), F.col("l.reach").alias("lreach")), "leaders")
 
 
-def _met(now: DataFrame, lead: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a leader and a member of another component that share a key it
-    leads. Two texts share up to 32 keys; the pair comes from the smallest of them only."""
-    owned = common.stored(now.groupBy("rid").agg(F.collect_set("key").alias("ks")), "open-keys")  # at most one key per band
-    led = common.stored(lead.groupBy("lead").agg(F.collect_set("key").alias("lks")), "led-keys")
+def _met(now: DataFrame, lead: DataFrame, work: common.Tables) -> DataFrame:
+    """Pairs (lead, rid) of a leader and a member of another component, within reach, that share a key it
+    leads. Two texts share up to ``BANDS`` keys; the pair comes from the smallest of them only."""
+    owned = work.stored(now.groupBy("rid").agg(F.collect_set("key").alias("ks")), "open-keys")  # at most one key per band
+    led = work.stored(lead.groupBy("lead").agg(F.collect_set("key").alias("lks")), "led-keys")
     own = led.select(F.col("lead").alias("rid"), F.col("lks").alias("own"))
     x = now.join(owned, "rid").join(own, "rid", "left").withColumnRenamed("key", "k")
     y = lead.join(led, "lead")
-    first = F.array_min(F.array_intersect("ks", "lks")) == F.col("k")
+    near = (x["k"] == y["key"]) & (x["comp"] != y["lcomp"]) & (x["n"] <= y["lreach"]) & (y["ln"] <= x["reach"])
     once = (F.col("rid") < F.col("lead")) | ~F.coalesce(F.array_contains("own", F.col("k")), F.lit(False))  # two leaders meet once
-    met = x.join(y, (x["k"] == y["key"]) & (x["comp"] != y["lcomp"]) & first & once)
-    return met.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
-
-
-def _linkable(now: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, steps: int) -> DataFrame:
-    """The members of ``now`` that can still reach the threshold with a member of another
-    component. A shingle that only one component has can't be in an intersection across
-    components: with s other shingles of n, and a partner of at least m shingles, similarity is
-    at most s / (m + n - s). Members below the threshold by that bound have no such link and
-    leave; then more shingles are exclusive, so the step is repeated."""
-    ids = common.stored(now.select("rid").distinct().join(reps.select("rid", "n", "set_id", "doc_id", "tkey"), "rid"), "open-ids")
-    texts = docs.select("doc_id", "text", text_key(docs).alias("tkey")).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS // 4 else ids, ["doc_id", "tkey"])
-
-    def spread(batches):
-        for whole in batches:
-            for batch in common.slices(iter([whole]), "text"):
-                sets = [_set_of(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                arrays = [[] if x is None else x.view(np.int64).tolist() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(arrays, pa.list_(pa.int64()))], names=["rid", "n", "tokens"])
-
-    tokens = common.stored(texts.select("rid", "text", "set_id", "n").mapInArrow(spread, "rid long, n long, tokens array<long>"), "open-shingles")
-    sizes = ids.select("rid", "n")
-    for _ in range(steps):
-        smallest = now.join(sizes, "rid").groupBy("key").agg(F.min("n").alias("m"))
-        doc = now.join(smallest, "key").groupBy("rid", "comp").agg(F.min("m").alias("m"))
-        doc = common.stored(doc.join(sizes, "rid"), "open-docs")
-        rows = tokens.select("rid", F.explode("tokens").alias("h")).join(doc.select("rid", "comp"), "rid")
-        across = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-        across = common.stored(across, "open-across")
-        s = rows.join(across, "h", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("s"))
-        least = F.greatest(F.col("m") * 100, F.col("n") * percent)  # a partner has at least percent % of n shingles
-        able = doc.join(s, "rid").filter(F.col("s") * 10_000 >= percent * (least + 100 * (F.col("n") - F.col("s")))).select("rid")
-        now = common.stored(now.join(common.stored(able, "open-able"), "rid", "left_semi"), "open")
-        keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        now = common.stored(now.join(keys, "key", "left_semi"), "open")
-    return now
+    first = F.array_min(F.array_intersect("ks", "lks")) == F.col("k")
+    return x.join(y, near & once & first).select("lead", "rid")
+
+
+def _linked(members: DataFrame, tokens: DataFrame, percent: int, work: common.Tables) -> DataFrame:
+    """(node, comp) of the nodes that have a link; stored."""
+    lead = members.groupBy("key").agg(F.max(F.struct("share", (-F.col("rid")).alias("minus"), "n", "reach")).alias("l"))
+    lead = lead.select("key", (-F.col("l.minus")).alias("lead"), F.col("l.n").alias("ln"), F.col("l.reach").alias("lreach"))
+    pairs = members.join(lead, "key").filter("rid <> lead and n <= lreach and ln <= reach").select("lead", "rid").distinct()
+    pairs = work.stored(pairs, "pairs")
+    seen = pairs.select(F.least("lead", "rid").alias("a"), F.greatest("lead", "rid").alias("b"))
+    labels = work.stored(components(_confirmed(pairs, tokens, percent, work), work), "labels")
+    many = 1
+    while True:
+        many *= LEADERS
+        now = _unsettled(members, labels, work)
+        if now.isEmpty():
+            return labels
+        lead = _leaders(now, many, work)
+        pairs = _met(now, lead, work).select("lead", "rid", F.least("lead", "rid").alias("a"), F.greatest("lead", "rid").alias("b"))
+        pairs = work.stored(pairs.join(seen, ["a", "b"], "left_anti").distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = _confirmed(pairs.select("lead", "rid"), tokens, percent, work)
+            seen = seen.unionAll(pairs.select("a", "b"))
+            if not links.isEmpty():
+                labels = work.stored(components(links.unionAll(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))), work), "labels")
+        members = now.drop("comp").join(lead.select("key", F.col("lead").alias("rid")), ["key", "rid"], "left_anti")
 
 
 def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -287,54 +327,43 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """``groups`` with two more columns: tkey of the row's text, and group, equal in all rows of a group."""
-    drawn = common.stored(sketches(docs, percent), "sketches")
-    # min over (id is null, id): a class with any id is named by its smallest
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))).alias("first")
-    classes = common.stored(drawn.filter("n_shingles > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("copies")).select("set_id", "first.doc_id", "copies"), "classes")
-    named = classes.filter("doc_id is not null")
-    # A class is the node named by its smallest id. Where an id names several, they are numbered in the same order.
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
-    named = common.stored(named.orderBy("doc_id", "set_id").withColumn("rid", F.monotonically_increasing_id()), "nodes") if repeated else named.withColumn("rid", F.col("doc_id"))
-    own = drawn.filter("n_shingles > 0").select("set_id", "doc_id", "tkey", F.col("n_shingles").alias("n"), "regs", "keys")
-    # One row per class, though rows may repeat an id and text.
-    reps = common.stored(own.join(named.drop("copies"), ["set_id", "doc_id"]).select("rid", "doc_id", "tkey", "n", "set_id", "regs", "keys").dropDuplicates(["set_id"]), "reps")
-
-    spread = reps.select("rid", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("rid").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    shared = common.stored(shared, "keys")
-    met = common.stored(spread.join(shared, "key").distinct(), "members")
-    open_ = met.filter("rid <> lead").select("key", "rid")
-    seen = common.stored(met.filter("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
-    links = _judged(seen, reps, docs, percent)
-    labels = common.stored(components(links), "labels")
-
-    many = 1
-    while True:
-        many *= LEADERS_GROW
-        now = _unsettled(open_, labels)
-        if now.isEmpty():
-            break
-        if now.count() > PRUNE_FROM:
-            now = _linkable(now, reps, docs, percent, 3 if many == LEADERS_GROW else 1)
-        lot = F.pmod(F.xxhash64("rid", F.lit(many)), F.lit(many))
-        lead = now.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rid", "comp")).alias("l")).select("key", F.col("l.rid").alias("lead"), F.col("l.comp").alias("lcomp"))
-        lead = common.stored(lead, "leaders")
-        pairs = _met(now, lead)
-        pairs = common.stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = _judged(pairs, reps, docs, percent)
-            seen = seen.unionAll(pairs)
-            if not links.isEmpty():
-                labels = common.stored(components(links.unionAll(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "labels")
-        open_ = now.select("key", "rid").join(lead.select("key", F.col("lead").alias("rid")), ["key", "rid"], "left_anti")
-
-    linked = named.join(labels.withColumnRenamed("node", "rid"), "rid", "left").filter("copies > 1 or comp is not null").select("set_id", F.coalesce("comp", "rid").alias("comp"))
-    names = named.select(F.col("rid").alias("comp"), F.col("doc_id").alias("first")) if repeated else None
-    linked = common.stored(linked.join(names, "comp") if repeated else linked.withColumn("first", F.col("comp")), "named")
-    out = drawn.select("doc_id", "tkey", "n_shingles", "set_id").join(linked, "set_id", "left")
+    work = common.Tables()
+    drawn = work.stored(sketches(docs, percent), "sketches")
+    classes = drawn.filter("n_shingles > 0").groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.coalesce(F.min_by("tkey", "doc_id"), F.min("tkey")).alias("tkey"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("n_shingles").alias("n"),
+        F.first("keys").alias("keys"),
+    )
+    classes = work.stored(classes, "classes")
+    # A class is the node named by its smallest id. Where an id names several or is null, they are numbered in the same order.
+    odd = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").limit(1).count() > 0
+    if odd:
+        nodes = work.stored(classes.orderBy(F.col("doc_id").asc_nulls_last(), "s1", "s2").withColumn("rid", F.monotonically_increasing_id()), "nodes")
+    else:
+        nodes = classes.withColumn("rid", F.col("doc_id"))
+
+    spread = nodes.select("rid", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).filter("x <> y").select("key")
+    members = work.stored(spread.join(shared, "key").select("key", "rid"), "members")
+    tokens = _shingles(docs, nodes, members, work)
+    # The second time counts only what the nodes left by the first still have in common.
+    members = _within_reach(members, tokens, percent, work)
+    tokens = work.stored(tokens.join(members.select("rid").distinct(), "rid", "left_semi"), "shingles")
+    members = _within_reach(members, tokens, percent, work)
+    labels = _linked(members, tokens, percent, work)
+
+    linked = nodes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").filter("copies > 1 or comp is not null").select("s1", "s2", F.coalesce("comp", "rid").alias("comp"))
+    names = nodes.select(F.col("rid").alias("comp"), F.col("doc_id").alias("first")) if odd else None
+    linked = work.stored(linked.join(names, "comp") if odd else linked.withColumn("first", F.col("comp")), "named")
+    work.drop(but=(drawn, linked))
+    out = drawn.select("doc_id", "tkey", "n_shingles", "s1", "s2").join(linked, ["s1", "s2"], "left")
     alone = F.concat_ws(" ", F.lit("t"), "doc_id", "tkey")  # no shingles: equal to nothing but itself
-    group = F.coalesce(F.concat(F.lit("c"), F.col("comp").cast("string")), F.concat(F.lit("s"), F.hex("set_id")), alone)
-    out = out.select("doc_id", "tkey", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), group.alias("group"))
+    group = F.coalesce(F.concat(F.lit("c"), F.col("comp").cast("string")), F.concat_ws(" ", F.lit("s"), "s1", "s2"), alone)
+    group = F.when(F.col("s1").isNull(), alone).otherwise(group)
+    first = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    out = out.select("doc_id", "tkey", "n_shingles", first.alias("component_id"), group.alias("group"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -67,17 +67,19 @@ def components(items, percent):
     return {k: find(k) for k in items}
 
 
-@pytest.mark.parametrize("prune", [0, 20_000])
-def test_near_groups(docs, prune, monkeypatch):
-    monkeypatch.setattr(hyperminhash, "PRUNE_FROM", prune)
+@pytest.mark.parametrize(("percent", "leaders"), [(85, 64), (80, 2)])
+def test_near_groups(docs, percent, leaders, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "LEADERS", leaders)
     items = {k: sets_of(t) for k, t in texts().items()}
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.groups(docs, 85).collect()}
-    want = components(items, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.groups(docs, percent).collect()}
+    want = components(items, percent)
     assert got == {k: (len(items[k]), want[k], want[k] == k) for k in items}
 
 
-def test_near_group_without_a_centre(spark):
-    """A chain and a star of edits: links that no leader of the first round has."""
+@pytest.mark.parametrize(("percent", "leaders"), [(80, 64), (85, 2)])
+def test_near_group_without_a_centre(spark, percent, leaders, monkeypatch):
+    """Chains, a star of edits without its centre, and a shared passage: links that no leader of the first round has."""
+    monkeypatch.setattr(hyperminhash, "LEADERS", leaders)
     rng = random.Random(3)
     base = [f"t{i}" for i in range(120)]
     rows, now = [], base
@@ -85,18 +87,17 @@ def test_near_group_without_a_centre(spark):
         now = list(now)
         now[rng.randrange(120)] = f"c{k}"
         rows.append((k, " ".join(now)))
-    for k in range(40, 80):
+    for k in range(40, 160):
         own = list(base)
         for _ in range(rng.randrange(1, 5)):
-            own[rng.randrange(120)] = f"s{k}-{rng.random()}"
-        rows.append((k, " ".join(own)))
+            own[rng.randrange(120)] = rng.choice([f"s{k}", "s", "also"])
+        rows.append((k, " ".join(own[: rng.choice([120, 110])])))
+    for k in range(160, 200):
+        rows.append((k, " ".join([*base[:40], *(f"p{k}-{i}" for i in range(60))])))
     items = {k: sets_of(t) for k, t in rows}
-    hyperminhash_prune, hyperminhash.PRUNE_FROM = hyperminhash.PRUNE_FROM, 0
-    try:
-        got = {r["doc_id"]: r["component_id"] for r in hyperminhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
-    finally:
-        hyperminhash.PRUNE_FROM = hyperminhash_prune
-    assert got == components(items, 80)
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    want = components(items, percent)
+    assert got == want and 2 < len(set(want.values())) - 40 < 110
 
 
 def test_near_groups_odd_rows(odd, spark):
@@ -134,7 +135,7 @@ def test_register_estimate():
     assert abs(j[0] - 3000 / 5000) < 0.2
 
 
-@pytest.mark.parametrize(("percent", "band"), [(80, 5e-8), (85, 5e-11)])
+@pytest.mark.parametrize(("percent", "band"), [(80, 3e-8), (85, 7e-12)])
 def test_register_filter_misses_less_than_bands(percent, band):
     n, t = hyperminhash.REGISTERS, percent / 100
     few = hyperminhash.fewest_equal(percent)
