@@ -71,14 +71,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.skein_path = path
+    _STORED.append(out)
     return out
 
 
+_STORED: list[DataFrame] = []
+
+
+def mark() -> int:
+    """For ``swept``: how many tables are stored now."""
+    return len(_STORED)
+
+
+def swept(since: int, *but: DataFrame) -> None:
+    """Deletes the tables stored since ``mark``, except ``but``."""
+    dropped(*[df for df in _STORED[since:] if not any(df is x for x in but)])
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in frames:
         path, fs = _hadoop(df.sparkSession, df.skein_path)
         fs.delete(path, True)
+    _STORED[:] = [x for x in _STORED if not any(x is df for df in frames)]
 
 
 class Tables:
