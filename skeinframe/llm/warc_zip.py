@@ -18,7 +18,7 @@ and writes packages of about ``package_bytes`` under unique names; the manifest
 
 Defined results: a null html is an empty payload; a null url is left out of the
 record; rows with a null page_id, and repeated rows with the largest page_id of
-their group, are responses; control characters in a url are percent-encoded;
+their group, are responses; white space and control characters in a url are percent-encoded;
 extra columns are ignored.
 """
 
@@ -34,6 +34,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ from . import common
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
-_CONTROL = re.compile(r"[\x00-\x20\x7f]")
+_CONTROL = re.compile(r"[\s\x00-\x20\x7f-\x9f]")
 
 
 # ---------------------------------------------------------------- ZIP by range reads
@@ -115,13 +116,18 @@ def data_offset(handle, member: Member) -> int:
 # ---------------------------------------------------------------- WARC records
 
 
+def _encoded(url: str) -> str:
+    """A url on one line and without blanks: white space and control characters percent-encoded."""
+    return _CONTROL.sub(lambda m: quote(m[0]), url)
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One record; a revisit has the response's HTTP head but no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + _encoded(url))
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -134,7 +140,7 @@ def parse_record(raw: bytes) -> dict:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
     n = int(fields["content-length"])
     block = rest[:n]
     if len(block) != n:
@@ -171,7 +177,7 @@ class PackageWriter:
         pack = zlib.compressobj(4, zlib.DEFLATED, 31)
         member = pack.compress(raw) + pack.flush()
         entry = {"offset": str(self.data.tell()), "length": str(len(member)), "filename": DATA.partition("/")[2]}
-        self.index.append(f"{_CONTROL.sub('', url or '')} {re.sub(r'[^0-9]', '', date)} {json.dumps(entry)}\n")
+        self.index.append(f"{_encoded(url or '')} {re.sub(r'[^0-9]', '', date)} {json.dumps(entry)}\n")
         self.data.write(member)
         self.n += 1
 
@@ -236,8 +242,8 @@ def locate(packages: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
                     members = directory(f, f.size())
                     index = members[INDEX]
                     base = data_offset(f, members[DATA])
-                    lines = common.get_range(f, data_offset(f, index), index.size).decode().splitlines()
-                found = sorted((int(e["offset"]), int(e["length"])) for e in (json.loads(x[x.index("{") :]) for x in lines))
+                    lines = common.get_range(f, data_offset(f, index), index.size).decode().split("\n")
+                found = sorted((int(e["offset"]), int(e["length"])) for e in (json.loads(x[x.rindex(" {") :]) for x in lines if x))  # a url may hold braces, but no blank
                 starts, lengths = [], []
                 for offset, length in found:
                     if not starts or sum(lengths[-1]) + length > run_bytes or starts[-1] + sum(lengths[-1]) != base + offset:
