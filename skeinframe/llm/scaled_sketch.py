@@ -4,16 +4,20 @@ A document's sketch is every distinct hash of its 5-word shingles that lies
 below a fixed share (1/``SCALE``) of the hash range. The same hashes survive in
 every document, so sketches can be merged by union, and the overlap of two gives
 unbiased containment and likeness even for very unequal lengths. A document of
-fewer than five words has one shingle, its whole word sequence. If no hash lies
-below the threshold, the smallest one is kept (a one-value MinHash: two sketches
-agree in it with the chance of their likeness), so that short documents can be
-compared too. Such a sketch says nothing of containment, which is null for it.
+fewer than five words has one shingle, its whole word sequence.
+
+A sketch is (whole, hashes). Of a document with at most ``FEW`` shingles the share
+is the whole range: it keeps them all, and ``whole`` says so. Two whole sketches are
+compared exactly; a whole one and another are both cut to the common threshold
+first, so that no hash counts that the other would not have kept. Then the same rule
+holds for every pair: of both documents the hashes below one threshold.
 
 All of it is row-local: one scan, no shuffle, no Python.
 
 Defined results: null text counts as empty; a text without words has the empty
-sketch (fingerprint ''); two empty sketches have likeness 1, an empty and a
-non-empty one 0; equal texts have equal fingerprints; repeated rows get repeated
+sketch (fingerprint ''); two sketches without a hash in the common range have likeness 1, one
+with and one without 0; containment is 1 for a text without words and null where
+the common range holds no hash of it; equal texts have equal fingerprints; repeated rows get repeated
 results; extra columns pass through.
 """
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, SCALE = 5, 2
+WIDTH, SCALE, FEW = 5, 2, 64
 
 
 def words(text: Column) -> Column:
@@ -34,7 +38,7 @@ def words(text: Column) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
-    """Sorted distinct shingle hashes below 1/scale of the range (or the smallest)."""
+    """(whole, hashes): the sorted distinct shingle hashes below 1/scale of the range, or all of at most ``FEW``."""
     # Word hashes once, then a shingle's hash from them: no strings are built per shingle.
     h = F.transform(words(text), lambda w: F.xxhash64(w))
 
@@ -43,17 +47,22 @@ def sketch(text: Column, scale: int = SCALE, width: int = WIDTH) -> Column:
         return F.when(F.size(h) >= width, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     # let() keeps each intermediate array evaluated once per row.
-    return F.array_sort(F.array_distinct(_let(_let(h, shingles), lambda s: _chosen(s, scale))))
+    return _let(_let(_let(h, shingles), F.array_distinct), lambda s: _sketch(F.size(s) <= FEW, s, scale))
+
 
+def _sketch(whole: Column, hashes: Column, scale: int) -> Column:
+    return F.struct(whole.alias("whole"), F.array_sort(F.when(whole, hashes).otherwise(_below(hashes, scale))).alias("hashes"))
 
-def _most(scale: int) -> int:
-    """The largest hash that is below 1/scale of the range."""
-    return -(1 << 63) + (1 << 64) // scale - 1
 
+def _below(hashes: Column, scale: int) -> Column:
+    """The hashes below 1/scale of the range."""
+    return F.filter(hashes, lambda x: x <= F.lit(-(1 << 63) + (1 << 64) // scale - 1))
 
-def _chosen(s: Column, scale: int) -> Column:
-    low = F.filter(s, lambda x: x <= F.lit(_most(scale)))
-    return F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))
+
+def _common(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """Hashes of both sketches in the range that both kept."""
+    whole = a["whole"] & b["whole"]
+    return tuple(F.when(whole | ~x["whole"], x["hashes"]).otherwise(_below(x["hashes"], scale)) for x in (a, b))
 
 
 def _let(value: Column, body) -> Column:
@@ -62,27 +71,38 @@ def _let(value: Column, body) -> Column:
 
 
 def fingerprint(s: Column) -> Column:
-    """The sketch as text: its hashes in 16 hexadecimal digits each, in order."""
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """The sketch as text: its hashes in 16 hexadecimal digits each, in order; after a ``=`` if they are the whole set."""
+    digits = F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.when(s["whole"] & (F.size(s["hashes"]) > 0), F.concat(F.lit("="), digits)).otherwise(digits)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated Jaccard similarity of two sketches."""
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+
+    def share(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"])).cast("double")
+        union = F.size(p["a"]) + F.size(p["b"]) - both
+        return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+
+    a, b = _common(a, b, scale)
+    return _let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Estimated share of a's shingles that b has too (1 if a is empty; null if a has no hash below
-    the threshold: a longer b would not have kept it)."""
-    share = F.size(F.array_intersect(a, b)) / F.size(a).cast("double")
-    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.array_min(a) <= F.lit(_most(scale)), share)
+    """Estimated share of a's shingles that b has too."""
+    none = a["whole"] & (F.size(a["hashes"]) == 0)
+    x, y = _common(a, b, scale)
+
+    def share(p: Column) -> Column:
+        return F.when(F.size(p["a"]) > 0, F.size(F.array_intersect(p["a"], p["b"])) / F.size(p["a"]).cast("double"))
+
+    return F.when(none, F.lit(1.0)).otherwise(_let(F.struct(x.alias("a"), y.alias("b")), share))
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two documents' shingles together."""
-    return F.array_sort(_let(F.array_union(a, b), lambda s: _chosen(s, scale)))
+    """The sketch of two documents' shingles together, as if of one document."""
+    whole = a["whole"] & b["whole"]
+    return _let(F.array_union(a["hashes"], b["hashes"]), lambda s: _sketch(whole & (F.size(s) <= FEW), s, scale))
 
 
 def with_next_text(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
@@ -94,7 +114,9 @@ def with_next_text(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
     splits = common.range_splits(docs, "doc_id", max(64, common.input_bytes(docs) // range_bytes))
     n = max(1, len(splits))
     at = common.range_of(F.col("doc_id"), splits)
-    heads = F.array_contains(F.lit(splits).cast("array<bigint>"), F.col("doc_id").cast("bigint")) if splits else F.lit(False)
+    # A row is the first of its range if its id is the range's split.
+    heads = F.element_at(F.lit(splits).cast("array<bigint>"), F.col("__at") + 1) == F.col("doc_id").cast("bigint") if splits else F.lit(False)
+    heads = F.coalesce(heads, F.lit(False))
     # Where null ids exist they precede the first split, in range 0, and one of them is the first row of all.
     first_null = docs.filter(F.col("doc_id").isNull()).limit(1).count() > 0
     ghost_of_last = F.col("doc_id").isNull() if first_null else F.col("doc_id").eqNullSafe(F.lit(splits[0]) if splits else F.lit(None))
