@@ -15,10 +15,12 @@ table (u64 document id, u64 first symbol, u64 first id, u64 has an id); symbols
 (u16 while they fit, else u32). The footer is JSON: per block its offset, length,
 ids and documents.
 
-Writing: ranges of ascending doc_id become files; each task writes its ranges in
-order under unique names and returns a manifest row per file, so the files of a
+Writing: rows are partitioned by ranges of (doc_id, checksum of the text), so a hot
+doc_id is split too; each task writes its range in order, in files of about
+``file_bytes``, under unique names and returns a manifest row per file, so the files of a
 lost or repeated attempt are never read. The start of a document is the sum of
 the ids in the files before it (one manifest row per file) plus its own start.
+``read_range`` decodes a range of ids of one document from its block alone.
 
 Defined results: null text counts as empty and yields the end id alone; rows with a null doc_id come first,
 equal doc_ids follow one another in an order fixed by their texts; extra columns
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ from .token_counts import byte_symbols
 MAGIC = b"SKRP0001"
 BLOCK_IDS = 1 << 20
 RULES_A_ROUND, MARK_BITS, LAID_OUT = 2500, 18, 64
+MOST_PARTS = 100_000
+RULE_BYTES = 12  # a rule in the file: its pair and its expansion length
 KEEP_PARTS, KEEP_CHARS = 800_000, 48
 
 
@@ -69,10 +74,12 @@ def learn(ids: np.ndarray, stop: int, base: int, most_symbols: int = 1 << 16) ->
     right) of symbol base + k. Pairs with ``stop`` stay. Each round counts all pairs
     exactly and replaces up to ``RULES_A_ROUND`` of the most frequent ones together; where
     occurrences overlap, the more frequent pair goes first and the other waits for a later
-    round. Ends when no pair occurs ``least`` times or no symbol is left, and no pair of a rule is left."""
+    round. Ends when no pair occurs so often that its rule takes less room than it saves, or no symbol
+    is left, and no pair of a rule is left."""
     s = ids.astype(np.uint32)
     room = max(0, most_symbols - base) if base < most_symbols else 1 << 20
     kind, bits = (np.uint32, 16) if base + room <= 1 << 16 else (np.uint64, 32)
+    least = RULE_BYTES // (2 if bits == 16 else 4) + 1  # a use saves a symbol
     mix = kind(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
     rules = np.empty(0, kind)  # pairs as keys, in order of their symbols
     while len(s) > 1:
@@ -81,7 +88,6 @@ def learn(ids: np.ndarray, stop: int, base: int, most_symbols: int = 1 << 16) ->
         counted = free[:-1] & free[1:]
         counted[_repeats(keys)] = False
         known = np.sort(rules)
-        least = max(4, len(s) // 200_000)
         named = known[:0]
         if len(rules) < room:
             ordered = np.sort(keys[counted])
@@ -327,9 +333,9 @@ def _encoder(raw: bytes) -> ChunkEncoder:
 class FileWriter:
     """Gathers documents into blocks; ``finish`` writes the file and returns its manifest row."""
 
-    def __init__(self, folder: str, part: int, stop: int, terminals: int):
-        self.uri = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex[:8]}.skrp"
-        self.part, self.stop, self.terminals = part, stop, terminals
+    def __init__(self, folder: str, part: int, seq: int, stop: int, terminals: int):
+        self.uri = f"{folder}/ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex[:8]}.skrp"
+        self.part, self.seq, self.stop, self.terminals = part, seq, stop, terminals
         self.docs: list = []
         self.held = 0
         self.chunks, self.blocks, self.at = [MAGIC], [], len(MAGIC)
@@ -342,7 +348,8 @@ class FileWriter:
 
     def close_block(self) -> None:
         body, info = pack_block(self.docs, self.stop, self.terminals)
-        self.blocks.append({"offset": self.at, **info})
+        ids = [d for d, _ in self.docs if d is not None]
+        self.blocks.append({"offset": self.at, **info, "first": min(ids, default=None), "last": max(ids, default=None)})
         self.chunks.append(body)
         self.at += len(body)
         self.docs, self.held = [], 0
@@ -352,10 +359,13 @@ class FileWriter:
             self.close_block()
         footer = json.dumps(self.blocks).encode()
         size = common.put_file(self.uri, [*self.chunks, footer, struct.pack("<Q", len(footer)), MAGIC])
-        return self.part, self.uri, sum(b["docs"] for b in self.blocks), sum(b["ids"] for b in self.blocks), sum(b["symbols"] for b in self.blocks), size
+        ends = [x for b in self.blocks for x in (b["first"], b["last"]) if x is not None]
+        sums = [sum(b[k] for b in self.blocks) for k in ("docs", "ids", "symbols")]
+        return self.part, self.seq, self.uri, *sums, size, min(ends, default=None), max(ends, default=None)
 
 
-MANIFEST = "part int, path string, n_docs long, n_ids long, n_symbols long, bytes long"
+MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_symbols long, bytes long, first_id long, last_id long"
+_ARROW_MANIFEST = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t]) for n, t in (c.split() for c in MANIFEST.split(", "))])
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 64 << 20, folder: str | None = None) -> DataFrame:
@@ -366,37 +376,31 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 6
     folder = folder or common.scratch(spark, "ids")
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
-    parts = max(16, 2 * common.input_bytes(docs) // file_bytes)
-    splits = common.range_splits(docs, "doc_id", parts)
-    n = max(1, len(splits))
-    dealt = (
-        docs.select("doc_id", "text", common.range_of(F.col("doc_id"), splits).cast("int").alias("part"))
-        .repartition(n, "part")
-        .sortWithinPartitions("part", F.asc_nulls_first("doc_id"), F.crc32(F.coalesce("text", F.lit(""))), "text")
-    )
+    parts = min(max(16, 2 * common.input_bytes(docs) // file_bytes), MOST_PARTS)  # beyond, a task writes several files
+    order = [F.asc_nulls_first("doc_id"), F.asc("check")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("check", F.crc32(F.coalesce("text", F.lit(""))))
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, rows, enc = None, [], _encoder(raw.value)
+        part, writer, rows, enc = TaskContext.get().partitionId(), None, [], _encoder(raw.value)
         end = np.array([end_id], np.uint32)
         for batch in common.slices(batches, "text", 8_000_000):
             encoded = enc.encode_all(batch.column("text"))
-            for part, doc_id, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
-                if writer is None or writer.part != part:
-                    if writer is not None:
-                        rows.append(writer.finish())
-                    writer = FileWriter(folder, part, end_id, enc.terminals)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                if writer is not None and writer.at >= file_bytes:
+                    rows.append(writer.finish())
+                    writer = None
+                writer = writer or FileWriter(folder, part, len(rows), end_id, enc.terminals)
                 writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             rows.append(writer.finish())
-        yield pa.RecordBatch.from_pylist([dict(zip(("part", "path", "n_docs", "n_ids", "n_symbols", "bytes"), r, strict=True)) for r in rows], schema=_ARROW_MANIFEST)
+        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW_MANIFEST.names, r, strict=True)) for r in rows], schema=_ARROW_MANIFEST)
 
     return common.stored(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
-_ARROW_MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_symbols", pa.int64()), ("bytes", pa.int64())])
-
-
-def _blocks(path: str) -> Iterator[tuple[dict, bytes]]:
+def _blocks(path: str, doc_id: int | None = None) -> Iterator[tuple[dict, bytes]]:
+    """(footer entry, bytes) of each block, or of those whose range of ids holds ``doc_id``."""
     with common.open_file(path) as f:
         size = f.size()
         tail = common.get_range(f, size - 16, 16)
@@ -404,14 +408,26 @@ def _blocks(path: str) -> Iterator[tuple[dict, bytes]]:
             raise ValueError(f"not an id file: {path}")
         n = struct.unpack("<Q", tail[:8])[0]
         for info in json.loads(common.get_range(f, size - 16 - n, n)):
-            yield info, common.get_range(f, info["offset"], info["length"])
+            if doc_id is None or (info["first"] is not None and info["first"] <= doc_id <= info["last"]):
+                yield info, common.get_range(f, info["offset"], info["length"])
+
+
+def read_range(manifest: DataFrame, doc_id: int, start: int, stop: int) -> list[np.ndarray]:
+    """ids[start:stop] of each document of that id, decoded from its block only."""
+    held = manifest.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "seq").select("path")
+    out = []
+    for row in held.toLocalIterator():  # one file, or those that share a repeated id
+        for _, raw in _blocks(row["path"], doc_id):
+            block = Block(raw)
+            out += [block.ids_between(k, start, stop) for k in np.flatnonzero((block.table[:, 0] == doc_id) & (block.table[:, 3] == 1))]
+    return out
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, from the files."""
     common.ship(manifest.sparkSession)
     # One row per file of tens of MB: a running sum over it is small work at any scale.
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.alias("base"))
     files = files.repartition(max(1, min(4096, manifest.count())), "path")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
