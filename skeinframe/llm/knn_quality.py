@@ -18,8 +18,9 @@ count. doc_id, lang, source and labels are never inputs of a score.
 
 Defined results: a text without words (null or empty too) has no vector and gets
 the prior (the labelled share of label 1, or 0.5 without labels of one kind);
-ties among neighbours go to the labelled row that comes first by id hash;
-repeated rows get repeated scores; labels that are null are not learned from.
+similarities count to ``DIGITS`` decimals and ties among neighbours go to the labelled
+row that comes first by id hash, so repeated rows get equal scores whatever block
+they are in; labels that are null are not learned from.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from . import common
 from .bpe import _adding
 
-BUCKETS, DIMENSIONS, NEIGHBOURS, MAX_LABELLED, BLOCK = 4096, 48, 15, 3000, 256
+BUCKETS, DIMENSIONS, NEIGHBOURS, MAX_LABELLED, BLOCK, DIGITS = 4096, 48, 15, 3000, 256, 6
 _SHAPES = ((re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "AA"), (re.compile(r"\d+"), "9"))
 
 
@@ -48,7 +49,7 @@ def _term(word: str, known: dict) -> tuple[int, int]:
         shape = word
         for pattern, by in _SHAPES:
             shape = pattern.sub(by, shape)
-        got = (zlib.crc32(b"w" + word.lower().encode()) % BUCKETS, zlib.crc32(b"s" + shape[:12].encode()) % BUCKETS)
+        got = (zlib.crc32(b"w" + word.lower().encode()) % BUCKETS, zlib.crc32(b"s" + shape.encode()) % BUCKETS)
         if len(known) > 200_000:
             known.clear()
         if len(word) <= 64:
@@ -71,8 +72,8 @@ def term_counts(text: str | None) -> dict[int, float]:
     if len(words) > 6:
         triples = len(words) - 2
         again = triples - len(set(zip(words, words[1:], words[2:], strict=False)))
-        if again > 0.1 * triples:
-            out[zlib.crc32(b"repeated triple") % BUCKETS] = 50.0 * len(words) * again / triples
+        if again:
+            out[zlib.crc32(b"repeated triple") % BUCKETS] = 50.0 * again / triples
     return out
 
 
@@ -152,12 +153,15 @@ def vote(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) ->
     out = np.full(len(texts), model["prior"])
     if not len(model["vectors"]):
         return out
+    projection, vectors = model["projection"].astype(np.float64), model["vectors"].astype(np.float64)
     for at in range(0, len(texts), BLOCK):
-        q = unit(rows_of(texts[at : at + BLOCK], model["weights"]) @ model["projection"])
-        sims = q @ model["vectors"].T
+        q = unit(rows_of(texts[at : at + BLOCK], model["weights"]).astype(np.float64) @ projection)
+        sims = np.rint(q @ vectors.T * 10**DIGITS).astype(np.int64)
         k = min(neighbours, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, 1), 0) ** 2
+        keys = sims * len(vectors) - np.arange(len(vectors))  # all different: by similarity, then place
+        near = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(keys, near, 1), axis=1), 1)
+        w = np.maximum(np.take_along_axis(sims, near, 1), 0) / 10**DIGITS
         total = w.sum(1)
         share = np.divide((w * model["y"][near]).sum(1), total, out=np.full(len(w), model["prior"]), where=total > 0)
         out[at : at + BLOCK] = share
