@@ -11,7 +11,7 @@ Failing lines are removed. A document goes if the removed lines held more than
 Each document is judged alone, in one pass: no shuffle.
 
 Defined results: null text counts as empty (all counts 0, base_failed, not
-kept); lines without a word are neither judged nor counted; repeated rows get
+kept); lines without a word are neither judged nor counted and stay; repeated rows get
 repeated results; extra columns pass through.
 """
 
@@ -28,13 +28,16 @@ from . import common
 from .bpe import _adding
 
 MIN_WORDS, MAX_REPEATED, MAX_LOST, MAX_SYMBOLS = 10, 20, 0.5, 0.1
-# What a sentence may end with, what counts as a symbol, what divides menu entries.
+SYMBOLS = "#*$%&|<>"  # fixed value of the contract
+# Chosen values: what a sentence may end with, what divides menu entries, phrases of site furniture in four languages.
 ENDINGS = tuple(".!?…\"'”’»)]:;。！？")
-SYMBOLS = "#*$%&|<>"
 BARS = ("|", "»", "›", "·", ">")
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled", "lorem ipsum", "privacy policy",
     "share on facebook", "sign up for our newsletter", "skip to content", "terms of service", "terms of use", "use of cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "zum inhalt springen", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "aller au contenu", "conditions d'utilisation",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "saltar al contenido", "términos de uso",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
 
@@ -49,7 +52,7 @@ def line_passes(line: str, words: list[str]) -> bool:
         return False
     if symbol_count(line) > MAX_SYMBOLS * sum(map(len, words)):  # punctuation: symbols for letters
         return False
-    if not words[-1].endswith(ENDINGS) and not any(w.endswith(ENDINGS) for w in words):  # punctuation: no sentence ends in it
+    if not any(w.endswith(ENDINGS) for w in words):  # punctuation: no sentence ends in it
         return False
     return not (len(words) <= 40 and _BOILERPLATE.search(line))
 
@@ -62,6 +65,7 @@ def judge(text: str | None) -> dict:
     for line in text.split("\n"):
         own = common.words_of(line)
         if not own:
+            kept_lines.append(line)
             continue
         words += own
         if line in seen:

@@ -34,7 +34,7 @@ WITH d AS (
             len(list_filter(s.own, lambda x: x IN ({_quoted(line_rules.BARS)}))) < 3
             AND length(regexp_replace(s.line, '{symbols}', '', 'g')) <= {line_rules.MAX_SYMBOLS}::DOUBLE * length(array_to_string(s.own, ''))
             AND len(list_filter(s.own, lambda x: right(x, 1) IN ({_quoted(line_rules.ENDINGS)}))) > 0
-            AND NOT (len(s.own) <= 40 AND regexp_matches(s.line, '(?i){'|'.join(line_rules.BOILERPLATE)}'))
+            AND NOT (len(s.own) <= 40 AND regexp_matches(s.line, '(?i){'|'.join(line_rules.BOILERPLATE).replace("'", "''")}'))
         ), lambda s: len(s.own))), 0) AS kept_words
     FROM w LEFT JOIN repeats ON w.r = repeats.r
 ), ruled AS (
