@@ -9,8 +9,13 @@ all rows. Shard s takes the s-th equal run of that order: counts differ by one a
 most (the law ``rows``), and a row's slot is its place in the run.
 
 One shuffle moves the rows; the bucket counts are a table of one small row per
-bucket. Rows are sorted before they are gathered, and every bucket is a
-partition's group, so that a repeated task makes the same order again.
+bucket, of which there are at most about 2 * ``MOST_BUCKETS``: beyond that many
+buckets of ``BUCKET_BYTES`` each holds more bytes. Rows are sorted before they are gathered, and the
+number of partitions follows from the data alone, so that a repeated task, or a second run
+over the same files, makes the same order again.
+
+``write_shards`` writes each bucket's rows to the folders of the shards that its run of the order
+touches, without another shuffle; ``read_shards`` reads them back.
 
 Defined results: null text has 0 bytes; null ids and repeated rows are scattered
 like others; an empty table gives no rows; extra columns move with their rows.
@@ -18,12 +23,12 @@ like others; an empty table gives no rows; extra columns move with their rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_BYTES, SEED = 16 << 20, 20240229
+BUCKET_BYTES, MOST_BUCKETS, SEED = 16 << 20, 200_000, 20240229
 
 
 def row_size(text: Column) -> Column:
@@ -34,22 +39,24 @@ def shuffled(df: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = B
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     size = row_size(F.col(f"`{text}`"))
     total = df.agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    rows, n_buckets = total["n"], max(1, (total["b"] or 0) // bucket_bytes + 1)
+    bucket_bytes = max(bucket_bytes, (total["b"] or 0) // MOST_BUCKETS)
+    rows, n_buckets = total["n"], (total["b"] or 0) // bucket_bytes + 1
     first = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(n_buckets))
     # Row numbers within a scan's splits stay the same when a task is repeated.
     numbered = df.withColumns({"__bucket": first, "__row": F.monotonically_increasing_id()})
     sizes = numbered.groupBy("__bucket").agg(F.sum(size).alias("bytes"))
-    large = {r["__bucket"]: int(r["bytes"] // bucket_bytes) + 1 for r in sizes.filter(F.col("bytes") > 4 * bucket_bytes).collect()}  # hot ids only: at most a quarter of the buckets
-    ways = F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("__bucket")) if large else F.lit(1)
-    sub = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__row")), F.coalesce(ways, F.lit(1)))
-    dealt = numbered.withColumn("__sub", sub.cast("int"))
+    # Hot ids only: as a large bucket holds 4 buckets' bytes, at most a quarter of their number.
+    large = common.stored(sizes.filter(F.col("bytes") > 4 * bucket_bytes).select("__bucket", (F.floor(F.col("bytes") / bucket_bytes) + 1).alias("__ways")), "large-buckets")
+    more = large.agg(F.count(F.lit(1)).alias("n"), F.sum("__ways").alias("w")).first()
+    sub = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__row")), F.coalesce("__ways", F.lit(1)))
+    dealt = numbered.join(F.broadcast(large), "__bucket", "left").withColumn("__sub", sub.cast("int")).drop("__ways")
 
     counts = dealt.groupBy("__bucket", "__sub").agg(F.count(F.lit(1)).alias("c"))
     # One row per memory-sized bucket; a running sum over them is small work at any scale.
     before = F.sum("c").over(Window.orderBy("__bucket", "__sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
     offsets = common.stored(counts.select("__bucket", "__sub", before.alias("__before")), "bucket-offsets")
 
-    parts = max(1, sum(large.values()) + n_buckets - len(large))
+    parts = n_buckets - more["n"] + (more["w"] or 0)
     columns = [F.col(f"`{c}`") for c in df.columns]
     packed = F.struct(*columns).alias("__item")
     gathered = (
@@ -71,5 +78,11 @@ def shuffled(df: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = B
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Writes a ``shuffled`` table: a folder per shard, rows in slot order in each file."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes a ``shuffled`` table: a folder per shard, rows in slot order in each file. Each task holds
+    whole buckets, so it writes to few shards and no row moves again."""
+    df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows that ``write_shards`` wrote, with the columns of the ``shuffled`` table ``like``."""
+    return spark.read.schema(like.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, external_shuffle, hyperminhash, knn_quality, line_rules, line_rules_sql, repair_store, scaled_sketch, temperature_mix, token_counts, warc_zip
+from . import bpe, common, external_shuffle, hyperminhash, knn_quality, line_rules, line_rules_sql, repair_store, scaled_sketch, temperature_mix, token_counts, warc_zip
 
 SHARDS = 40
 
@@ -36,7 +36,9 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = external_shuffle.shuffled(_table(spark, sf_dir, "documents"), SHARDS)
+    dealt, path = external_shuffle.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS), common.scratch(spark, "shards")
+    external_shuffle.write_shards(dealt, path)
+    moved = external_shuffle.read_shards(spark, path, dealt)
     text = F.coalesce("text", F.lit(""))
     return moved.select(
         "doc_id", external_shuffle.row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
@@ -58,7 +60,7 @@ def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = temperature_mix.mixed(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_passes", "mix_pass", "mix_key")
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_passes", "mix_pass", "mix_block", "mix_key")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,16 @@ with one aggregation over the table of sources, so the number of sources isn't
 bounded by the driver and a step returns a few rows.
 
 The weights become budgets of tokens, and a budget is realised as a stream of
-block permutations: in each pass a source's documents are dealt by seeded hash
-into blocks, the blocks come in hashed order and the documents in hashed order
-within their block. A source's stream is its whole passes, then one part pass that
-stops at the budget. Only the block totals are summed in order per source (one row per
-``BLOCK_TOKENS`` tokens) and then the documents of the one block where the budget
-ends; the result is a block and a hash per source, by which each row decides for
+block permutations: a source's documents are dealt by seeded hash into blocks; each pass
+has its own order of the blocks (a seeded affine permutation of their numbers) and, within a block, its own
+hashed order of the documents. A source's stream is its whole passes, then one part pass that
+stops at the budget. ``mix_key`` is a use's place in its source's stream, from 0 to 1: sorted by
+it, each source runs through its passes block by block, and the sources are interleaved by
+their weights all along.
+
+Word counts and hashes of the rows are stored once. Only the block totals of the part pass are summed in
+order per source (one row per ``BLOCK_TOKENS`` tokens) and then the documents of the one block where the budget
+ends; the result is a place and a hash per source, by which each row decides for
 itself. Texts are never shuffled and a source with a third of all rows is no
 larger a task than others.
 
@@ -35,15 +39,28 @@ from pyspark.sql import functions as F
 from . import common
 from .scaled_sketch import words
 
-BLOCK_TOKENS, WAYS, STEPS, SEED = 2_000_000, 33, 6, 20240301
+BLOCK_TOKENS, WAYS, STEPS, SEED, PRIME = 2_000_000, 33, 6, 20240301, 2_147_483_647
 #: Defaults: the entropy to reach, as a share of what lies between the raw shares' entropy and the equal weights', and the most passes.
 ENTROPY_SHARE, MAX_PASSES = 0.5, 4.0
 
 
+def counted(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """(source, hash, n): hash and words of every row; stored, so that texts are read once for them."""
+    n, h = _row(source, text, key, seed)
+    return common.stored(docs.select(F.col(f"`{source}`").alias("source"), h.alias("hash"), n.alias("n")), "source-rows")
+
+
+def _row(source: str, text: str, key: str, seed: int):
+    return F.size(words(F.col(f"`{text}`"))).cast("long"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))
+
+
 def shares(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """(source, tokens): the stored table of token totals."""
-    n = F.size(words(F.col(f"`{text}`"))).cast("long")
-    return common.stored(docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(n).alias("tokens")), "source-tokens")
+    return _totals(docs.select(F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("n")))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return common.stored(rows.groupBy("source").agg(F.sum("n").alias("tokens")), "source-tokens")
 
 
 def _at(sources: DataFrame, total: int, exponents: list[float]) -> list[dict]:
@@ -88,9 +105,10 @@ def exponent(sources: DataFrame, target_entropy: float | None = None, max_passes
 
 def mixed(docs: DataFrame, budget: int | None = None, target_entropy: float | None = None, max_passes: float = MAX_PASSES, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row per use: ``mix_pass`` (0-based), ``mix_passes`` (uses of the
-    row), ``mix_weight`` (of its source), ``mix_tokens`` and ``mix_key`` (a uniform
-    order for interleaving the sources)."""
-    totals = shares(docs, source, text)
+    row), ``mix_weight`` (of its source), ``mix_tokens``, ``mix_block`` (its block in its source) and ``mix_key``
+    (its place in the source's stream, 0 to 1)."""
+    small = counted(docs, source, text, key, seed)
+    totals = _totals(small)
     found = exponent(totals, target_entropy, max_passes)
     total = float(found["total"] or 1)
     p = F.col("tokens") / F.lit(total)
@@ -103,40 +121,48 @@ def mixed(docs: DataFrame, budget: int | None = None, target_entropy: float | No
     rest = F.greatest(F.lit(0.0), (F.col("passes") - F.col("whole")) * F.col("tokens")).cast("long")
     plan = totals.withColumn("w", weight).withColumn("passes", passes).withColumn("whole", whole).withColumn("rest", rest)
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long"))
-    plan = common.stored(plan.select(F.col("source").alias("__source"), "w", "whole", "rest", "blocks"), "mix-plan")
+    plan = common.stored(plan.select(*[F.col(c).alias(f"__mix_{n}") for c, n in (("source", "source"), ("w", "w"), ("whole", "whole"), ("rest", "rest"), ("blocks", "blocks"), ("passes", "length"))]), "mix-plan")
+
+    m = lambda name: F.col(f"__mix_{name}")
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), m("h")), m("blocks"))
 
-    added = {"mix_pass", "mix_passes", "mix_weight", "mix_tokens", "mix_key"}
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    n = F.size(words(F.col(f"`{text}`"))).cast("long")
-    hashed = base.withColumns({"__n": n, "__h": F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))})
+    def turn(pass_):
+        """Place of the row's block among the blocks of a pass: the factor is a prime above any number of blocks."""
+        return F.pmod(m("block") * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed + 2), pass_), m("blocks")), m("blocks"))
 
-    def placed(p: DataFrame) -> DataFrame:
-        # One row per source: Spark broadcasts it while its size allows and otherwise splits hot sources (AQE).
-        rows = hashed.join(p, hashed[f"`{source}`"].eqNullSafe(p["__source"]), "left")
-        rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.col("blocks")))
-        return rows.withColumn("__o", F.xxhash64(F.lit(seed + 2), F.col("__b")))
+    def inner(pass_):
+        """Order of the row within its block in a pass, from 0 to 1."""
+        return F.pmod(F.xxhash64(F.lit(seed + 3), pass_, m("h")), F.lit(1 << 52)) / float(1 << 52)
 
-    # The part pass of each source ends at one block and, in that block, at one hash: two small
+    # The part pass of each source ends at one block and, in that block, at one row: two small
     # tables give both, and then every row decides for itself.
-    part = placed(plan).filter("rest > 0").groupBy("__source", "__o", "__b", "rest").agg(F.sum("__n").alias("bn"))
-    upto = F.sum("bn").over(Window.partitionBy("__source").orderBy("__o", "__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    part = part.withColumn("before", upto - F.col("bn")).filter("before < rest and before + bn >= rest")
-    cuts = common.stored(part.select(F.col("__source").alias("cs"), F.col("__o").alias("co"), F.col("__b").alias("cb"), "before"), "mix-cuts")
-    inner = placed(plan).select("__source", "__o", "__b", "__h", "__n", "rest")
-    inner = inner.join(cuts, inner["__source"].eqNullSafe(cuts["cs"]) & (inner["__o"] == cuts["co"]) & (inner["__b"] == cuts["cb"]))
-    inner = inner.groupBy("__source", "__h", "before", "rest").agg(F.sum("__n").alias("hn"))
-    within = F.sum("hn").over(Window.partitionBy("__source").orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("hn")
-    ends = inner.withColumn("pos", F.col("before") + within).filter("pos < rest").groupBy("__source").agg(F.max("__h").alias("ch"))
-    full = plan.join(cuts, plan["__source"].eqNullSafe(cuts["cs"]), "left").drop("cs", "before")
-    ends = ends.withColumnRenamed("__source", "es")
-    full = common.stored(full.join(ends, full["__source"].eqNullSafe(ends["es"]), "left").drop("es"), "mix-plan")
-
-    rows = placed(full)
-    earlier = (F.col("__o") < F.col("co")) | ((F.col("__o") == F.col("co")) & (F.col("__b") < F.col("cb")))
-    in_cut = (F.col("__o") == F.col("co")) & (F.col("__b") == F.col("cb")) & (F.col("__h") <= F.col("ch"))
-    more = F.when((F.col("rest") > 0) & F.coalesce(earlier | in_cut, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    rows = rows.withColumn("mix_passes", (F.col("whole") + more).cast("int")).filter("mix_passes > 0")
-    out = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("mix_passes") - 1)))
-    unit = (F.pmod(F.xxhash64(F.lit(seed + 3), F.col("mix_pass"), F.col("__h")), F.lit(1 << 52)) / float(1 << 52)).alias("mix_key")
-    keep = [F.col(f"`{c}`") for c in base.columns]
-    return out.select(*keep, "mix_pass", "mix_passes", F.col("w").alias("mix_weight"), F.col("__n").alias("mix_tokens"), unit)
+    small = small.select(F.col("source").alias("__mix_of"), F.col("hash").alias("__mix_h"), F.col("n").alias("__mix_n"))
+    part = small.join(plan.filter("__mix_rest > 0"), F.col("__mix_of").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_block", block)
+    part = part.select("__mix_source", "__mix_rest", "__mix_n", turn(m("whole")).alias("at"), inner(m("whole")).alias("u"))
+    blocks = part.groupBy("__mix_source", "__mix_rest", "at").agg(F.sum("__mix_n").alias("bn"))
+    upto = F.sum("bn").over(Window.partitionBy("__mix_source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = blocks.withColumn("before", upto - F.col("bn")).filter("before < __mix_rest and before + bn >= __mix_rest")
+    cuts = common.stored(blocks.select(F.col("__mix_source").alias("__mix_cut"), F.col("at").alias("__mix_end"), "before"), "mix-cuts")
+    last = part.join(cuts, F.col("__mix_source").eqNullSafe(F.col("__mix_cut")) & (F.col("at") == F.col("__mix_end")))
+    last = last.groupBy("__mix_source", "u", "before", "__mix_rest").agg(F.sum("__mix_n").alias("hn"))
+    within = F.sum("hn").over(Window.partitionBy("__mix_source").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("hn")
+    ends = last.withColumn("pos", F.col("before") + within).filter("pos < __mix_rest").groupBy(F.col("__mix_source").alias("__mix_ended")).agg(F.max("u").alias("__mix_u"))
+    full = plan.join(cuts.drop("before"), F.col("__mix_source").eqNullSafe(F.col("__mix_cut")), "left")
+    full = common.stored(full.join(ends, F.col("__mix_source").eqNullSafe(F.col("__mix_ended")), "left").drop("__mix_ended", "__mix_cut"), "mix-plan")
+
+    added = {"mix_pass", "mix_passes", "mix_weight", "mix_tokens", "mix_block", "mix_key"}
+    names = [c for c in docs.columns if c.lower() not in added]
+    n, h = _row(source, text, key, seed)
+    # One row per source: Spark broadcasts the plan while its size allows and otherwise splits hot sources (AQE).
+    rows = docs.withColumns({"__mix_n": n, "__mix_h": h, "__mix_of": F.col(f"`{source}`")}).join(full, F.col("__mix_of").eqNullSafe(F.col("__mix_source")), "left")
+    rows = rows.withColumn("__mix_block", block)
+    used = (turn(m("whole")) < m("end")) | ((turn(m("whole")) == m("end")) & (inner(m("whole")) <= m("u")))
+    more = F.when((m("rest") > 0) & F.coalesce(used, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    rows = rows.withColumn("__mix_uses", (m("whole") + more).cast("int")).filter("__mix_uses > 0")
+    rows = rows.withColumn("__mix_pass", F.explode(F.sequence(F.lit(0), m("uses") - 1)))
+    place = (m("pass") + (turn(m("pass")) + inner(m("pass"))) / m("blocks")) / F.greatest(m("length"), m("pass") + F.lit(1e-9))
+    keep = [F.col(f"`{c}`") for c in names]
+    return rows.select(
+        *keep, m("pass").alias("mix_pass"), m("uses").alias("mix_passes"), m("w").alias("mix_weight"), m("n").alias("mix_tokens"),
+        m("block").alias("mix_block"), F.least(place, F.lit(1.0)).alias("mix_key"),
+    )
