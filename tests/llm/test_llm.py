@@ -169,7 +169,13 @@ def test_byte_bpe(docs, odd):
     rows = bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rows = bpe.decode(rows, P.path("byte_bpe_50k.tiktoken")).collect()
     assert len(rows) == len(odd_rows()) and all((r["text"] or "").encode() == bytes(r["decoded"]) for r in rows)
-    assert queries.op7_byte_bpe(docs.sparkSession, SMALL).count() == docs.count()
+    digest = lambda t: (len(i := lib.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = queries.op7_byte_bpe(docs.sparkSession, SMALL).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted((k, *digest(t)) for k, t in texts().items())
+    got = bpe.encode_digest(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select(columns).collect()
+    assert Counter(map(tuple, got)) == Counter((k, *digest(t)) for k, t in odd_rows())
+    assert bpe.encode_digest(odd.filter("doc_id < 0"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
 def test_token_counts(spark):
@@ -183,7 +189,14 @@ def test_token_counts(spark):
     own.known.clear()
     assert own.count(every[:300]) == [len(e.ids) for e in lib.encode_batch(every[:300], add_special_tokens=False)]
     got = queries.op10_token_counts(spark, SMALL).collect()
-    assert {r["doc_id"]: r["n_bytes"] for r in got} == {k: len(t.encode()) for k, t in texts().items()}
+    n = {k: len(lib.encode(t, add_special_tokens=False).ids) for k, t in texts().items()}
+    assert {tuple(r[c] for c in ("doc_id", "n_bytes", "n_tokens", "over_limit")) for r in got} == {(k, len(t.encode()), n[k], n[k] > 1024) for k, t in texts().items()} and len(got) == len(n)
+    clash = spark.createDataFrame([(k, t, "x") for k, t in odd_rows()], "doc_id long, text string, n_tokens string")
+    rows = token_counts.count_tokens(clash, path, P.PATTERN, limit=1024, keep_text=False)
+    assert rows.columns.count("n_tokens") == 1
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in rows.collect())
+    assert got == Counter((k, len(lib.encode(t or "", add_special_tokens=False).ids)) for k, t in odd_rows())
+    assert token_counts.count_tokens(clash.filter("doc_id < 0"), path, P.PATTERN, limit=1024).count() == 0
 
 
 def test_id_files(spark, odd):
@@ -201,8 +214,17 @@ def test_id_files(spark, odd):
         start += len(ids)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op9_repair_store(spark, SMALL).collect()}
     assert got == want
-    rows = repair_store.read(repair_store.write(odd.select("doc_id", "text"), path), with_ids=True).collect()
-    assert len(rows) == len(odd_rows()) and sorted(r["start"] for r in rows)[0] == 0
+    stored = repair_store.write(odd.select("doc_id", "text"), path, file_bytes=1 << 12)
+    rows = sorted(repair_store.read(stored, with_ids=True).collect(), key=lambda r: r["start"])
+    want = {t: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for _, t in odd_rows()}
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == Counter((k, tuple(want[t])) for k, t in odd_rows())
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
+    assert [r["doc_id"] for r in rows] == [None, *sorted(k for k, _ in odd_rows() if k is not None)] and stored.count() > 1
+    for k, t in odd_rows():
+        if k is not None:
+            found = repair_store.read_range(stored, k, 3, 9)
+            assert len(found) == sum(k == x for x, _ in odd_rows()) and all(f.tolist() == want[t][3:9] for f in found)
+    assert repair_store.read_range(stored, 12345, 0, 5) == []
     assert repair_store.read(repair_store.write(odd.filter("doc_id < 0"), path)).count() == 0
 
 
@@ -218,6 +240,10 @@ def test_grammar_random_access():
     for ids in ([5] * 1000, [7, 8] * 500, [1] * 200):
         raw, _ = repair_store.pack_block([(None, np.array(ids, np.uint32))], 1, 10)
         assert repair_store.Block(raw).everything()[0].tolist() == ids
+    plain = lambda ds: 64 + 32 * len(ds) + 2 * sum(len(ids) for _, ids in ds)
+    for count, top in ((5, 40), (5, 5000), (60, 40), (60, 5000)):  # no block is larger than its ids as they are
+        ds = [(k, np.append(rng.integers(2, top, 300), 1).astype(np.uint32)) for k in range(count)]
+        assert len(repair_store.pack_block(ds, 1, top)[0]) <= plain(ds)
 
 
 def test_grammar_is_whole():
@@ -235,7 +261,7 @@ def test_grammar_is_whole():
             if 1 not in pair and last.get(pair) != k - 1:
                 left[pair] += 1
                 last[pair] = k
-        assert max(left.values()) < 4 and len(set(map(tuple, rules.tolist()))) == len(rules)
+        assert max(left.values()) < 7 and len(set(map(tuple, rules.tolist()))) == len(rules)
         lengths = repair_store.expansion_lengths(rules, top + 1)
         assert repair_store.Grammar(rules, lengths, top + 1).expand(symbols).tolist() == ids.tolist()
     for room in (5, 300):
@@ -244,19 +270,35 @@ def test_grammar_is_whole():
 
 
 def test_archives(spark):
-    rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://b", "é" * 5000), (None, "n", "same"), (2, "http://a/2", "same")]
+    rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (4, "u\r\nx", ""), (5, "http://b", "é" * 5000), (None, "n", "same"), (2, "http://a/2", "same"), (6, "http://a/{id} {x}", "a"), (7, "http://a/\x85\u2028\t{", "b"), (8, "", "c"), (9, " ", "d")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = warc_zip.read(warc_zip.write(pages), payloads=True).collect()
     assert len(found) == len(rows)
     by = {r["page_id"]: r for r in found}
     assert by[1]["record_type"] == "revisit" and by[1]["refers_to"] == 2 and by[2]["record_type"] == "response" and by[3]["refers_to"] == 4
     sha = base64.b32encode(hashlib.sha1(("é" * 5000).encode()).digest()).decode()
+    assert by[6]["url"] == "http://a/{id}%20{x}" and by[7]["url"] == "http://a/%C2%85%E2%80%A8%09{"
     assert by[5]["payload_digest"] == sha and bytes(by[5]["payload"]).decode() == "é" * 5000 and by[1]["payload_bytes"] == 4
     assert warc_zip.read(warc_zip.write(pages.filter("page_id > 99"))).count() == 0
     rare = warc_zip.read(warc_zip.write(pages, revisit_min_bytes=5)).filter("record_type = 'revisit'")
     assert rare.count() == 0
 
 
+def test_archive_query(spark):
+    pages = pq.read_table(f"{SMALL}/pages.parquet", columns=["page_id", "html"]).to_pylist()
+    groups, want = defaultdict(list), {}
+    for r in pages:
+        groups[(r["html"] or "").encode()].append(r["page_id"])
+    for body, ids in groups.items():
+        sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        for k in ids:
+            kept = k == max(ids)
+            want[k] = (k, len(body), sha, "response" if kept else "revisit", None if kept else max(ids))
+    got = queries.op1_warc_zip(spark, SMALL)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, got.collect())) == sorted(want.values())
+
+
 def test_zip64_directory(tmp_path):
     path = tmp_path / "x.zip"
     out = io.BytesIO()
@@ -280,7 +322,7 @@ def test_sketches(spark, docs, odd):
     every = texts()
     order = sorted(every)
     for k, after in zip(order, [*order[1:], order[0]], strict=True):
-        t, n = every[k], len(every[k])
+        t, n = every[k], len(every[k])  # the query's own rows
         edited = t[: n - n // 4] + every[after][: n // 4]
         assert got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[k]["n_chars"] == n
     shown = scaled_sketch.fingerprints(odd.select("doc_id", "text")).collect()
@@ -289,11 +331,14 @@ def test_sketches(spark, docs, odd):
         by_text[r["text"]].add(r["fingerprint"])
     assert all(len(v) == 1 for v in by_text.values()) and by_text[""] == by_text[None] == {""} and by_text["one two"] != {""}
     errors = []
-    for k in order:
+    for k, after in zip(order, [*order[1:], order[0]], strict=True):
         a = sets_raw(every[k])
         b = sets_raw(every[k][: len(every[k]) - len(every[k]) // 4] + every[order[(order.index(k) + 1) % len(order)]][: len(every[k]) // 4])
-        errors.append(got[k]["near_edited"] - len(a & b) / len(a | b))
-    assert abs(np.mean(errors)) < 0.03
+        errors.append(abs(got[k]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)))
+        c = sets_raw(every[after])
+        errors.append(abs(got[k]["near_next"] - (len(a & c) / len(a | c) if a | c else 1)))
+        assert (got[k]["fingerprint"] == got[after]["fingerprint"]) == (a == c)
+    assert np.mean(errors[::2]) < 0.03 and np.mean(errors[1::2]) < 0.01 and max(errors) < 0.2, (np.mean(errors[::2]), max(errors))
     nulls = scaled_sketch.with_next_text(odd.select("doc_id", "text")).collect()
     assert len(nulls) == len(odd_rows())
 
@@ -315,12 +360,14 @@ def test_sketch_error_by_length(spark):
         n, j = want[r["id"]]
         errors[n].append(abs(r["j"] - j))
         assert r["in"] in (1.0, None)
-    assert [n for n, most in ((12, 0.18), (25, 0.12), (60, 0.075), (300, 0.035)) if np.mean(errors[n]) > most] == [], {n: np.mean(e) for n, e in errors.items()}
-    short = spark.createDataFrame([(f"word{i}", f"longer text {i} of which the word is no shingle at all word{i}") for i in range(60)], "a string, b string")
-    short = short.select(*[scaled_sketch.sketch(F.col(c)).alias(c) for c in ("a", "b")])
-    few = short.select("a", scaled_sketch.containment(F.col("a"), F.col("a")).alias("own"), scaled_sketch.merged(F.col("a"), F.col("b")).alias("m")).collect()
-    assert {r["own"] for r in few} == {1.0, None} and all((r["own"] is None) == (r["a"][0] >= 0) for r in few)
-    assert all(x < 0 for r in few if len(r["m"]) > 1 for x in r["m"])
+    assert [n for n, most in ((12, 1e-12), (25, 1e-12), (60, 0.05), (300, 0.035)) if np.mean(errors[n]) > most] == [], {n: np.mean(e) for n, e in errors.items()}
+    short = spark.createDataFrame([(f"word{i}", " ".join(["word", *(f"x{i}-{k}" for k in range(100)), f"word{i}"])) for i in range(60)], "a string, b string")
+    short = short.select(*[scaled_sketch.sketch(F.col(c)).alias(f"s{c}") for c in ("a", "b")])
+    a, b = F.col("sa"), F.col("sb")
+    few = short.select(scaled_sketch.containment(a, a).alias("own"), scaled_sketch.merged(a, b).alias("m"), scaled_sketch.merged(a, a).alias("twice"), "sa", "sb").collect()
+    assert all(r["own"] == 1.0 and r["twice"] == r["sa"] and r["sa"]["whole"] for r in few)
+    assert all(x < 0 for r in few for x in r["m"]["hashes"]) and not any(r["m"]["whole"] for r in few)
+    assert all(set(r["sb"]["hashes"]) <= set(r["m"]["hashes"]) for r in few)
 
 
 def sets_raw(t):
@@ -343,6 +390,13 @@ def test_shards(odd, docs):
     assert external_shuffle.shuffled(docs.filter("doc_id < 0"), 7).count() == 0
 
 
+def test_shards_query(spark):
+    every = texts()
+    rows = queries.op3_external_shuffle(spark, SMALL).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows} == {(k, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", None) for k, t in every.items()}
+    assert len(rows) == len(every) and sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(40) for k in range(5)]
+
+
 def brute_rules(t):
     t = t or ""
     w = WORD.findall(t)
@@ -385,12 +439,22 @@ def test_exact_cosines():
     for t in ("a few words of text", "other words here", ""):
         q = knn_quality.unit(knn_quality.rows_of([t], model["weights"]) @ model["projection"])[0]
         near = sorted(range(40), key=lambda i: -(q @ m[i]))[: knn_quality.NEIGHBOURS]
-        w = [max(float(q @ m[i]), 0) ** 2 for i in near]
+        w = [max(float(q @ m[i]), 0) for i in near]
         want = sum(a * float(model["y"][i]) for a, i in zip(w, near, strict=True)) / sum(w) if sum(w) else 0.5
-        assert abs(knn_quality.vote(model, [t])[0] - want) < 1e-5
-
-
-def test_mixing(spark, odd):
+        assert abs(knn_quality.vote(model, [t])[0] - want) < 1e-4
+    model["vectors"] = np.repeat(m[:1], 40, axis=0)  # ties: the first ones vote
+    model["y"] = np.r_[np.ones(7), np.zeros(33)].astype(np.float32)
+    texts_ = ["a few words of text", "other words", *list(texts().values())[:120]]
+    got = knn_quality.vote(model, texts_)
+    sims = [knn_quality.unit(knn_quality.rows_of([t], model["weights"]) @ model["projection"])[0] @ m[0] for t in texts_]
+    assert all(abs(s - 7 / 15) < 1e-9 for s, c in zip(got, sims, strict=True) if c > 1e-3) and sum(c > 1e-3 for c in sims) > 20
+    model["vectors"] = m
+    many = list(texts().values())
+    alone = [knn_quality.vote(model, [t])[0] for t in many]
+    assert knn_quality.vote(model, many).tolist() == alone == knn_quality.vote(model, many[::-1])[::-1].tolist()
+
+
+def test_mixing(spark, odd, monkeypatch):
     rows = [(i, "w " * (1 + i % 5), "big" if i < 900 else "mid" if i < 980 else None) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     totals = Counter()
@@ -416,15 +480,119 @@ def test_mixing(spark, odd):
         assert abs(passes * totals[s] - want * totals[s]) <= 6
     assert temperature_mix.mixed(odd.withColumnRenamed("kept", "mix_pass")).count() >= len(odd_rows())
     assert temperature_mix.mixed(docs.filter("doc_id < 0")).count() == 0
+    clash = temperature_mix.mixed(odd.select("doc_id", "text", "source", *[F.col("kept").alias(c) for c in ("rest", "w", "blocks", "whole", "tokens", "hash", "n")]))
+    assert clash.columns[3:10] == ["rest", "w", "blocks", "whole", "tokens", "hash", "n"] and clash.count() >= len(odd_rows())
+    for a, b in (("mix_pass", "mix_key"),):  # all first uses of a source come before its second ones
+        ends = defaultdict(list)
+        for r in uses:
+            ends[(r["source"], r[a])].append(r[b])
+        assert all(max(v) <= min(ends[(s, k + 1)]) for (s, k), v in ends.items() if (s, k + 1) in ends)
+    assert all(0 <= r["mix_key"] <= 1 for r in uses)
+    monkeypatch.setattr(temperature_mix, "BLOCK_TOKENS", 100)
+    small = temperature_mix.mixed(docs).collect()
+    assert Counter(r["mix_pass"] for r in small)[0] == 1000 and len({r["mix_block"] for r in small if r["source"] == "big"}) > 10
+    order = defaultdict(list)
+    for r in sorted(small, key=lambda r: r["mix_key"]):
+        run = order[(r["source"], r["mix_pass"])]
+        if not run or run[-1] != r["mix_block"]:
+            run.append(r["mix_block"])
+    assert all(len(run) == len(set(run)) for run in order.values())  # block by block
+    assert order[("mid", 0)] != order[("mid", 1)] or len(order[("mid", 0)]) < 2
     capped = temperature_mix.mixed(docs, budget=600).collect()
     assert abs(sum(r["mix_tokens"] for r in capped) - 600) <= 18
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def test_mix_query(spark):
+    docs = {r["doc_id"]: r for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
+    rows = queries.op6_temperature_mix(spark, SMALL).collect()
+    n = {k: len(WORD.findall(r["text"] or "")) for k, r in docs.items()}
+    totals, got, weights = Counter(), Counter(), {}
+    for k, r in docs.items():
+        totals[r["source"]] += n[k]
+    for r in rows:
+        assert r["mix_tokens"] == n[r["doc_id"]] and r["source"] == docs[r["doc_id"]]["source"]
+        got[r["source"]] += r["mix_tokens"]
+        weights[r["source"]] = r["mix_weight"]
+    passes = Counter((r["doc_id"], r["mix_pass"]) for r in rows)
+    assert set(passes.values()) == {1} and all((k, 0) in passes for k in docs)
+    assert abs(sum(weights.values()) - 1) < 1e-9
+    whole = sum(totals.values())
+    raw = -sum(v / whole * np.log(v / whole) for v in totals.values())
+    entropy = -sum(w * np.log(w) for w in weights.values())
+    most = max(weights[s] / totals[s] for s in totals) / min(weights[s] / totals[s] for s in totals)
+    assert abs(entropy - (raw + 0.5 * (np.log(len(totals)) - raw))) < 1e-6 or abs(most - 4) < 1e-3
+    budget = max(totals[s] / weights[s] for s in totals)
+    longest = max(n.values())
+    assert all(abs(got[s] - weights[s] * budget) <= longest + 1 for s in totals)
+
+
+def kept_of_near(rows, percent=80):
+    """One row of each group, by brute force over the distinct (id, text) rows with words; ids last if null."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    items = {k: sets_of(t) for k, (_, t) in enumerate(rows)}
+    comp = components(items, percent)
+    return rows, {k: comp[k] for k in items}
+
+
+def test_pipeline_stages(spark):
+    """Each stage against a plain version on its own input."""
+    import corpus_pipeline as c
+    import tiktoken
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(c.STAGES)
+    row = lambda r: (r["doc_id"], r["text"])
+
+    model = knn_quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    good = stages["quality classifier"](spark, docs, SMALL)
+    assert good.columns == columns
+    assert sorted(map(row, good.collect())) == sorted(k for k in texts().items() if knn_quality.vote(model, [k[1]])[0] >= 0.5)
+
+    ruled = stages["quality rules"](spark, good, SMALL)
+    assert ruled.schema == docs.schema
+    want = [(r["doc_id"], j["clean_text"], len(j["clean_text"])) for r in good.collect() if (j := line_rules.judge(r["text"]))["kept"]]
+    assert sorted((*row(r), r["n_chars"]) for r in ruled.collect()) == sorted(want) and 100 < len(want) < 200
+
+    alone = stages["near duplicates"](spark, ruled, SMALL)
+    assert alone.schema == docs.schema
+    rows, comp = kept_of_near([k[:2] for k in want])
+    assert sorted(map(row, alone.collect())) == sorted(rows[k] for k in comp if comp[k] == k)
+    assert len(want) > alone.count()
+
+    mixed = stages["mixing"](spark, alone, SMALL)
+    assert mixed.schema == docs.schema and set(map(row, mixed.collect())) == set(map(row, alone.collect()))
+
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    coded = stages["byte-level BPE"](spark, mixed, SMALL).collect()
+    digest = lambda t: hashlib.sha256(" ".join(map(str, lib.encode_ordinary(t))).encode()).hexdigest()
+    assert Counter((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in coded) == Counter((k, digest(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in map(row, mixed.collect()))
+    whole = c.run(spark, SMALL).select("doc_id", "ids_sha256").collect()
+    assert Counter(map(tuple, whole)) == Counter((r["doc_id"], r["ids_sha256"]) for r in coded)
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, repeated rows, one id with several texts, an extra column with an operator's name, and no rows."""
+    import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert 0.5 * 200 < docs.count() < 200
+    some = docs.orderBy("doc_id").limit(120).withColumn("kept", F.lit("x"))
+    more = some.filter("doc_id < 40")
+    odd = some.unionByName(more).unionByName(more.withColumn("doc_id", F.col("doc_id") + 1)).unionByName(more.withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(more.withColumn("text", F.lit(None).cast("string"))).unionByName(more.withColumn("text", F.lit(""))).unionByName(more.withColumn("source", F.lit(None).cast("string")))
+    stages = dict(c.STAGES)
+    ruled = stages["quality rules"](spark, stages["quality classifier"](spark, odd, SMALL), SMALL)
+    before = [(r["doc_id"], r["text"]) for r in ruled.collect()]
+    alone = stages["near duplicates"](spark, ruled, SMALL)
+    got = [(r["doc_id"], r["text"]) for r in alone.collect()]
+    rows, comp = kept_of_near(before)
+    assert len(got) == len(set(got)) and set(got) <= set(before)
+    at = {r: k for k, r in enumerate(rows)}
+    assert Counter(comp[at[r]] for r in got) == Counter(set(comp.values()))  # one row of each group
+    least = {}
+    for k, g in comp.items():
+        least.setdefault(g, rows[k][0])  # rows are in order of their ids
+    assert all(r[0] == least[comp[at[r]]] for r in got)
+    out = c.applied(spark, odd, SMALL)
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {k for k, _ in got}
+    assert c.applied(spark, odd.filter("doc_id < 0"), SMALL).count() == 0
