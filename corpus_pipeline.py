@@ -1,21 +1,25 @@
 """The corpus pipeline: five stages over ``documents``, each stored before the next.
 
 1. quality classifier: documents whose neighbours vote label 0 go.
-2. quality rules: documents that fail the base rules or lose too much text go; a
-   document that stays keeps its whole text.
+2. quality rules: lines that fail go from the text, and documents that fail the base
+   rules or lose too much text go as a whole; n_chars follows the text.
 3. near duplicates: of each group (five-word shingles, similarity 0.8 or more) the
    smallest doc_id stays.
 4. mixing: sources are repeated to their temperature weights; no document goes.
 5. byte-level BPE: ids are encoded and decoded again; per row the digests.
 
-Stages 1 to 4 return the columns of ``documents``. Null and empty texts, repeated
-rows, empty tables and extra columns are handled as the operators define.
+Stages 1 to 4 return the columns of ``documents``; extra columns stay with their rows, and one that has the
+name of a column that an operator adds comes back with the operator's value. Null and empty texts have the
+classifier's prior and go at the rules; rows that repeat an id and a text count once from stage 3 on; null
+ids are kept apart from others; an empty table gives an empty result.
+What the operators stored on the way is deleted as soon as a stage's result is stored.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinframe.llm import bpe, common, hyperminhash, knn_quality, line_rules, temperature_mix
 
@@ -26,7 +30,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_rules.apply_rules(docs, ["kept"]).filter("kept").select(*docs.columns)
+    rows = line_rules.apply_rules(docs, ["kept", "clean_text"]).filter("kept").withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return applied(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def applied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stages on ``docs``, in turn."""
+    begun = common.mark()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.swept(begun, docs)
     return docs
