@@ -8,7 +8,7 @@ from .sources.readers import read_ipc_stream, read_json, scan_csv, scan_ipc, sca
 from .sql import SqlContext
 
 __all__ = [
-    "DataFrame", "Expr", "LazyFrame", "Series", "SqlContext", "coalesce", "col", "concat", "dtypes", "len_", "lit", "read_ipc_stream", "read_json", "scan_csv",
+    "DataFrame", "Expr", "LazyFrame", "Series", "SqlContext", "capabilities", "coalesce", "col", "concat", "diagnostics", "dtypes", "len_", "lit", "read_ipc_stream", "read_json", "scan_csv",
     "scan_ipc", "scan_ndjson", "scan_parquet", "selectors", "struct", "when",
 ]
 
@@ -19,3 +19,12 @@ def capabilities() -> dict[str, list[str]]:
     from .plans.expr import AGGREGATES, BINARY, UNARY
 
     return {"functions": sorted(set(RULES) - set(SIGNATURES)), "namespaces": sorted(SIGNATURES), "aggregates": sorted(AGGREGATES), "unary": sorted(UNARY), "binary": sorted(BINARY)}
+
+
+def diagnostics(spark) -> dict[str, int]:
+    """Live work of the session: cached frames, background jobs, and Spark jobs and stages that run now."""
+    from .streaming import jobs
+
+    status = spark.sparkContext.statusTracker()
+    cached = spark._jsparkSession.sharedState().cacheManager().numCachedEntries()
+    return {"cached_frames": int(cached), "background_jobs": jobs.active(), "spark_jobs": len(status.getActiveJobsIds()), "spark_stages": len(status.getActiveStageIds())}

@@ -169,14 +169,8 @@ def join_nulls_equal(t):
     return one.join(one, on="k", nulls_equal=True, validate="m:m").select("n_nationkey", "n_nationkey_right")
 
 
-@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size < s_nationkey AND p_partkey % 10 = s_suppkey % 10")
-def join_where(t):
-    left, right = t.part.with_columns(k=c("p_partkey") % 10), t.supplier.with_columns(k2=c("s_suppkey") % 10)
-    return left.join_where(right, c("p_size") < c("s_nationkey"), c("k") == c("k2")).select("p_partkey", "s_suppkey")
-
-
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
-def join_where_nation(t):
+def join_where(t):
     return t.customer.join_where(t.supplier, c("c_nationkey") == c("s_nationkey"), c("c_acctbal") < c("s_acctbal")).select("c_custkey", "s_suppkey")
 
 
@@ -255,11 +249,6 @@ def agg_arg_min_max(t):
     return t.events.sort("event_id").group_by("user_id").agg(c("value").arg_min().alias("lo"), c("value").arg_max().alias("hi"))
 
 
-@query(None)
-def agg_approx_n_unique(t):
-    return t.events.group_by("event_type").agg(c("user_id").approx_n_unique().alias("users"))
-
-
 @query("SELECT n_regionkey, product(n_nationkey + 1)::BIGINT AS pr FROM nation GROUP BY 1")
 def agg_product(t):
     return t.nation.group_by("n_regionkey").agg((c("n_nationkey") + 1).product().alias("pr"))
@@ -314,13 +303,6 @@ def rolling_rows(t):
     )
 
 
-@query(None)
-def ewm_functions(t):
-    o = lambda e: e.over("user_id", "event_id")
-    v = c("v")
-    return _gaps(t).select("event_id", real(o(v.ewm_mean(0.3)), "m"), real(o(v.ewm_sum(0.3)), "s"), real(o(v.ewm_std(0.3)), "sd"), real(o(v.ewm_variance(0.3)), "va"))
-
-
 @query(
     "SELECT event_id, round(coalesce(v, a.v0 + (b.v1 - a.v0) * (i - a.i0) / (b.i1 - a.i0)), 6) AS x FROM (SELECT event_id, v, i, "
     "last_value(CASE WHEN v IS NOT NULL THEN struct_pack(v0 := v, i0 := i) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i) AS a, first_value(CASE WHEN v IS NOT NULL THEN struct_pack(v1 := v, i1 := i) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b "
@@ -414,13 +396,8 @@ def concat_horizontal(t):
     return concat([t.nation.sort("n_nationkey").select("n_name"), t.region.sort("r_regionkey").select("r_name")], "horizontal")
 
 
-@query("SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings WHERE vec_id < 20")
-def explode_list(t):
-    return t.embeddings.filter(c("vec_id") < 20).select("vec_id", c("embedding").alias("e")).explode("e").select("vec_id", c("e").cast("float64"))
-
-
 @query("SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings")
-def explode_list_all(t):
+def explode_list(t):
     return t.embeddings.select("vec_id", c("embedding").alias("e")).explode("e").select("vec_id", c("e").cast("float64"))
 
 
@@ -523,3 +500,6 @@ def forecast_revenue(t):
     return rows.select(real((c("l_extendedprice") * c("l_discount")).sum(), "revenue", 4))
 
 
+
+
+from . import catalog_more  # noqa: E402, F401  (registers the rest)

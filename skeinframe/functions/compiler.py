@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Unsupported, require
-from ..plans.expr import MATH, Expr
+from ..plans.expr import MATH, Expr, output_name
 
 RID = "__rid"
 INF, NAN = float("inf"), float("nan")
@@ -25,7 +25,10 @@ def quoted(name: str) -> Column:
 
 
 class Context:
-    """Where an expression is compiled: the frame, and the window if there is one."""
+    """Where an expression is compiled: the frame, and the window if there is one. ``order`` holds pairs:
+    a sort key and the same key reversed."""
+
+    sliding = False  # whether each row has its own range of rows, in the order of (__t, row order)
 
     def __init__(self, df: DataFrame, partition: tuple = (), order: tuple = (), inside: bool = False):
         self.df, self.partition, self.order, self.inside = df, partition, order, inside
@@ -35,15 +38,12 @@ class Context:
         plain = Context(self.df, self.partition, self.order, True)
         return self.df.select(plain.compile(e).alias("x")).schema[0].dataType
 
-    def position(self) -> list[Column]:
-        return list(self.order) or [F.col(RID)]
+    def position(self, reverse: bool = False) -> list[Column]:
+        return [k[reverse] for k in self.order or (ROW_ORDER(),)]
 
     def ordered(self, reverse: bool = False):
         """The window in row order (or in the order that ``over`` gave)."""
-        keys = self.position()
-        if reverse:
-            keys = [_flip(k) for k in keys]
-        return Window.partitionBy(*self.partition).orderBy(*keys)
+        return Window.partitionBy(*self.partition).orderBy(*self.position(reverse))
 
     def whole(self):
         w = Window.partitionBy(*self.partition)
@@ -59,9 +59,8 @@ class Context:
         return rule(self, e)
 
 
-def _flip(c: Column) -> Column:
-    text = c._jc.toString()
-    return F.col(RID).desc() if text == RID else F.expr(text.replace(" ASC NULLS FIRST", " DESC NULLS LAST") if " ASC NULLS FIRST" in text else text.replace(" ASC NULLS LAST", " DESC NULLS FIRST") if " ASC NULLS LAST" in text else text.replace(" DESC NULLS FIRST", " ASC NULLS LAST") if " DESC NULLS FIRST" in text else text.replace(" DESC NULLS LAST", " ASC NULLS FIRST"))
+def ROW_ORDER() -> tuple[Column, Column]:
+    return F.col(RID).asc(), F.col(RID).desc()
 
 
 RULES: dict[str, Callable[[Context, Expr], Column]] = {}
@@ -145,13 +144,20 @@ def _(ctx, e):
     return F.when(p, a).otherwise(b)
 
 
+def window_of(df: DataFrame, e: Expr) -> Context:
+    """The context inside an ``over`` node."""
+    ctx, p = Context(df), e.params
+    pick = {(False, False): ("asc_nulls_first", "desc_nulls_last"), (False, True): ("asc_nulls_last", "desc_nulls_first"), (True, False): ("desc_nulls_first", "asc_nulls_last"), (True, True): ("desc_nulls_last", "asc_nulls_first")}
+    ways = pick[p["descending"], p["nulls_last"]]
+    order = tuple(tuple(getattr(k, way)() for way in ways) for k in map(ctx.compile, p["order"]))
+    return Context(df, tuple(map(ctx.compile, p["keys"])), (*order, ROW_ORDER()) if order and RID in df.columns else order, True)
+
+
 @rule("over")
 def _(ctx, e):
-    p = e.params
-    sort = {(False, False): "asc_nulls_first", (False, True): "asc_nulls_last", (True, False): "desc_nulls_first", (True, True): "desc_nulls_last"}[p["descending"], p["nulls_last"]]
-    order = tuple(getattr(ctx.compile(k), sort)() for k in p["order"])
-    inner = Context(ctx.df, tuple(map(ctx.compile, p["keys"])), (*order, F.col(RID)) if order and RID in ctx.df.columns else order, True)
-    if p["mapping"] == "join":
+    require(e.params["mapping"] != "explode", "over(mapping='explode') stands alone in a select")
+    inner = window_of(ctx.df, e)
+    if e.params["mapping"] == "join":
         return F.collect_list(inner.compile(e.args[0])).over(inner.whole())
     return inner.compile(e.args[0])
 
@@ -180,7 +186,6 @@ plain("pow", F.pow)
 plain("atan2", F.atan2)
 plain("coalesce", F.coalesce)
 plain("fill_null", F.coalesce)
-plain("struct", lambda *xs: F.struct(*xs))
 plain("fill_nan", lambda x, v: F.when(F.isnan(x), v).otherwise(x))
 plain("abs", F.abs)
 plain("is_finite", lambda x: _has(x, ~F.isnan(x) & (F.abs(x) != F.lit(INF))))
@@ -190,6 +195,11 @@ plain("clip_min", lambda x, lo: _has(x, F.greatest(x, lo)))
 plain("clip_max", lambda x, hi: F.when(_odd(x), x).when(x.isNotNull(), F.least(x, hi)))
 
 
+@rule("struct")
+def _(ctx, e):
+    return F.struct(*[ctx.compile(a).alias(output_name(a)) for a in e.args])
+
+
 def _odd(x: Column) -> Column:
     """NaN, for any numeric column."""
     return F.isnan(x.cast("double"))
@@ -256,7 +266,7 @@ def _(ctx, e):
 
 @rule("is_in_column")
 def _(ctx, e):
-    # The values are an aggregate of the whole frame; frames compute it once and put its array in.
+    # Frames join a column's values beforehand; here the values are a list of the row itself.
     x, values = map(ctx.compile, e.args)
     found = F.exists(values, lambda v: v.eqNullSafe(x))
     return found if e.params["nulls_equal"] else _has(x, found)
@@ -325,7 +335,7 @@ _aggregate("len")(lambda ctx, e, x: ctx.agg(F.count(F.lit(1))))
 _aggregate("count")(lambda ctx, e, x: ctx.agg(F.count(x)))
 _aggregate("null_count")(lambda ctx, e, x: ctx.agg(F.count_if(x.isNull())))
 _aggregate("mean")(lambda ctx, e, x: ctx.agg(F.avg(x)))
-_aggregate("median")(lambda ctx, e, x: ctx.agg(F.median(x)))
+_aggregate("median")(lambda ctx, e, x: ctx.agg(F.percentile(x.cast("double"), F.lit(0.5)) if ctx.sliding else F.median(x)))
 _aggregate("approx_n_unique")(lambda ctx, e, x: ctx.agg(F.approx_count_distinct(x)))
 _aggregate("nan_max")(lambda ctx, e, x: ctx.agg(F.max(x)))
 _aggregate("nan_min")(lambda ctx, e, x: F.when(ctx.agg(F.bool_or(F.isnan(x))), NAN).otherwise(ctx.agg(F.min(x))))
@@ -358,13 +368,22 @@ def _(ctx, e, x):
     return F.coalesce(ctx.agg(F.max(_real(ctx, e, x))), ctx.agg(F.max(x)))
 
 
+def _outermost(ctx, x, pick):
+    """The first or last value of each row's own range of rows."""
+    return ctx.agg(pick(F.struct(x.alias("v")), F.struct("__t", RID)))["v"]
+
+
 @_aggregate("first")
 def _(ctx, e, x):
+    if ctx.sliding:
+        return _outermost(ctx, x, F.min_by)
     return F.first(x).over(ctx.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if ctx.inside else F.min_by(F.struct(x.alias("v")), F.col(RID))["v"]
 
 
 @_aggregate("last")
 def _(ctx, e, x):
+    if ctx.sliding:
+        return _outermost(ctx, x, F.max_by)
     return F.last(x).over(ctx.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if ctx.inside else F.max_by(F.struct(x.alias("v")), F.col(RID))["v"]
 
 
@@ -372,7 +391,7 @@ def _(ctx, e, x):
 def _(ctx, e, x):
     # a null counts as one value
     nulls = F.coalesce(ctx.agg(F.max(F.when(x.isNull(), 1).otherwise(0))), F.lit(0))
-    some = F.size(F.collect_set(x).over(ctx.whole())) if ctx.inside else F.count_distinct(x)
+    some = F.size(ctx.agg(F.collect_set(x))) if ctx.inside else F.count_distinct(x)
     return (some + nulls).cast("bigint")
 
 
@@ -409,9 +428,10 @@ def _(ctx, e, x):
 
 
 def _arg(ctx, x, largest: bool) -> Column:
-    at = F.row_number().over(ctx.ordered()) - 1 if ctx.inside else F.col("__at")
+    at = F.row_number().over(ctx.ordered()) - 1 if ctx.inside and not ctx.sliding else F.col("__at")
     best = F.min(F.when(x.isNotNull(), F.struct((-x if largest else x).alias("v"), at.alias("at"))))
-    return ctx.agg(best)["at"].cast("bigint")
+    found = ctx.agg(best)["at"]
+    return (found - ctx.agg(F.min(at)) if ctx.sliding else found).cast("bigint")  # from the range's own first row
 
 
 _aggregate("arg_min")(lambda ctx, e, x: _arg(ctx, x, False))
@@ -561,40 +581,73 @@ def _(ctx, e, x):
 
 @_sliding("ewm")
 def _(ctx, e, x):
-    """The recursion runs over the partition's values gathered in row order, by SQL's ``aggregate``."""
-    p = e.params
-    w = ctx.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = F.collect_list(F.struct(x.cast("double").alias("v"))).over(w)
-    alpha, keep = float(p["alpha"]), 1.0 - float(p["alpha"])
-    zero = lambda *names: F.struct(*[F.lit(0.0).alias(n) for n in names])
-    adjust, skip = p["adjust"], p["ignore_nulls"]
-
-    def step(s, item):
-        v = item["v"]
-        old = s["old"] * keep  # weight of the past, decayed by this row
-        new = F.lit(1.0 if adjust else alpha) if p["kind"] != "sum" else F.lit(1.0)
-        first = s["n"] == 0
-        if p["kind"] == "sum":
-            total = s["mean"] * keep + v
-            seen = F.struct(total.alias("mean"), F.lit(0.0).alias("cov"), F.lit(1.0).alias("old"), F.lit(1.0).alias("w1"), F.lit(1.0).alias("w2"), (s["n"] + 1).alias("n"))
-            idle = s.withField("mean", s["mean"] if skip else s["mean"] * keep)
-            return F.when(v.isNull(), idle).otherwise(seen)
-        mean = F.when(first, v).otherwise((old * s["mean"] + new * v) / (old + new))
-        cov = F.when(first, 0.0).otherwise((old * (s["cov"] + (s["mean"] - mean) ** 2) + new * (v - mean) ** 2) / (old + new))
-        w1 = F.when(first, 1.0).otherwise(s["w1"] * keep + new)
-        w2 = F.when(first, 1.0).otherwise(s["w2"] * keep * keep + new * new)
-        weight = F.when(first, 1.0).otherwise(old + new) if adjust else F.lit(1.0)
-        seen = F.struct(mean.alias("mean"), cov.alias("cov"), weight.alias("old"), w1.alias("w1"), w2.alias("w2"), (s["n"] + 1).alias("n"))
-        idle = s if skip else s.withField("old", s["old"] * keep).withField("w1", s["w1"] * keep).withField("w2", s["w2"] * keep * keep)
-        return F.when(v.isNull(), idle).otherwise(seen)
-
-    s = F.aggregate(values, F.struct(*[zero("mean", "cov", "old", "w1", "w2")[n].alias(n) for n in ("mean", "cov", "old", "w1", "w2")], F.lit(0).alias("n")), step)
-    out = s["mean"]
-    if p["kind"] in ("variance", "std"):
-        fix = s["w1"] * s["w1"] / F.nullif(s["w1"] * s["w1"] - s["w2"], F.lit(0.0))
-        out = s["cov"] if p["bias"] else F.when(s["n"] > 1, s["cov"] * fix).otherwise(0.0)
-        out = F.sqrt(out) if p["kind"] == "std" else out
-    return F.when(x.isNotNull() & (s["n"] >= max(1, p["least"])), out)
+    raise Unsupported("exponentially weighted functions stand in a projection: alone, or directly inside over()")
+
+
+class Smoother:
+    """The recursion of the exponentially weighted functions; ``next`` takes the values in order."""
+
+    def __init__(self, kind: str, alpha: float, adjust: bool, bias: bool, least: int, ignore_nulls: bool):
+        self.kind, self.alpha, self.adjust, self.bias, self.least, self.skip = kind, alpha, adjust, bias, max(1, least), ignore_nulls
+        self.reset()
+
+    def reset(self) -> None:
+        self.n, self.mean, self.cov, self.old, self.w1, self.w2 = 0, 0.0, 0.0, 0.0, 0.0, 0.0
+
+    def next(self, v: float | None) -> float | None:
+        keep = 1.0 - self.alpha
+        if v is None:
+            if not self.skip:  # a null still ages the past
+                self.old, self.w1, self.w2 = self.old * keep, self.w1 * keep, self.w2 * keep * keep
+                if self.kind == "sum":
+                    self.mean *= keep
+            return None
+        new = 1.0 if self.adjust else self.alpha
+        if self.kind == "sum":
+            self.mean = self.mean * keep + v
+        elif self.n == 0:
+            self.mean, self.old, self.w1, self.w2 = v, 1.0, 1.0, 1.0
+        else:
+            old = self.old * keep
+            mean = (old * self.mean + new * v) / (old + new)
+            self.cov = (old * (self.cov + (self.mean - mean) ** 2) + new * (v - mean) ** 2) / (old + new)
+            self.mean, self.old = mean, old + new if self.adjust else 1.0
+            self.w1, self.w2 = self.w1 * keep + new, self.w2 * keep * keep + new * new
+        self.n += 1
+        if self.n < self.least:
+            return None
+        if self.kind in ("mean", "sum"):
+            return self.mean
+        out = self.cov
+        if not self.bias:
+            rest = self.w1 * self.w1 - self.w2
+            out = 0.0 if self.n < 2 else self.cov * self.w1 * self.w1 / rest if rest else None
+        return out if out is None or self.kind == "variance" else out**0.5
+
+
+def smoothed(ctx: Context, x: Column, params: dict, name: str) -> DataFrame:
+    """The frame with the exponentially weighted column ``name``: rows are sorted by partition and order, and
+    each partition is run through once, with a few numbers held. Without partition keys that is one task."""
+    import pyarrow as pa
+
+    key = F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(ctx.partition)]), {"ignoreNullFields": "false"}) if ctx.partition else F.lit("")
+    rows = ctx.df.select("*", key.alias("__key"), x.cast("double").alias("__x"))
+    rows = (rows.repartition("__key") if ctx.partition else rows.repartition(1)).sortWithinPartitions("__key", *ctx.position())
+    step = Smoother(*[params[k] for k in ("kind", "alpha", "adjust", "bias", "least", "ignore_nulls")])
+    n = len(ctx.df.columns)
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+                if k != now:
+                    now = k
+                    step.reset()
+                out.append(step.next(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.float64())], names=[*batch.schema.names[:n], name])
+
+    return rows.mapInArrow(run, T.StructType([*ctx.df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 from . import namespaces  # noqa: E402, F401  (registers the namespace rules)

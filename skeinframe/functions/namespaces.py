@@ -109,7 +109,7 @@ def _(ctx, e, x, pattern, value, literal, replace_all):
     if literal:
         return F.when(x.contains(pattern), F.concat(F.substring_index(x, pattern, 1), F.lit(value), F.substring(x, F.instr(x, F.lit(pattern)) + len(pattern), F.char_length(x)))).otherwise(x)
     # First match only: the shortest lead, the match, the rest.
-    return F.regexp_replace(x, f"(?s)\\A(.*?)(?:{p})", "$1" + re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + 1}", by))
+    return F.regexp_replace(x, f"\\A((?s:.*?))(?:{p})", "$1" + re.sub(r"\$(\d+)", lambda m: f"${int(m[1]) + 1}", by))
 
 
 def _strip(side: str):
@@ -420,9 +420,10 @@ space("bin.base64_encode")(lambda ctx, e, x: F.replace(F.base64(x), F.lit("\r\n"
 
 
 @space("cat.physical", categories=None)
-def _(ctx, e, x, categories):
-    """Codes: the position of each value in the listed categories, or in those found, in order of value."""
-    cats = F.array(*[F.lit(c) for c in categories]) if categories else F.array_sort(F.collect_set(x).over(ctx.whole()))
+def _(ctx, e, x, found=None, *, categories):
+    """Codes: the position of each value in the listed categories, or in those found, in order of value.
+    Frames compute the categories found once, as one row."""
+    cats = F.array(*[F.lit(c) for c in categories]) if categories else found if found is not None else F.array_sort(ctx.agg(F.collect_set(x)))
     return F.nullif(F.array_position(cats, x), F.lit(0)) - 1
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..errors import InvalidRequest, require
 from ..functions.compiler import RID, quoted
@@ -34,7 +35,9 @@ class DataFrame:
         if not table.num_columns:
             return cls(LazyFrame(spark.range(table.num_rows).select(F.col("id").alias(RID))))
         rid = pa.array(range(table.num_rows), pa.int64())
-        return cls(LazyFrame(spark.createDataFrame(table.append_column(RID, rid))))
+        table = table.append_column(RID, rid)
+        # Times without a zone stay without one.
+        return cls(LazyFrame(spark.createDataFrame(table, from_arrow_schema(table.schema, prefer_timestamp_ntz=True))))
 
     def lazy(self) -> LazyFrame:
         return self._lazy
@@ -150,6 +153,9 @@ class Series:
     def to_arrow(self) -> pa.ChunkedArray:
         return self._df.orderBy(RID).select(quoted(self.name)).toArrow().column(0)
 
+    def __arrow_c_stream__(self, requested_schema=None):
+        return self.to_arrow().__arrow_c_stream__(requested_schema)
+
     def to_list(self) -> list: return self.to_arrow().to_pylist()  # noqa: E704
     def to_frame(self) -> DataFrame: return DataFrame(self._frame())  # noqa: E704
     def rename(self, name: str) -> "Series": return Series(self._df.withColumnRenamed(self.name, name))  # noqa: E704

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidRequest, require
-from ..functions.compiler import RID, Context, quoted
+from ..functions.compiler import RID, Context, quoted, smoothed, window_of
 from ..plans.expr import Expr, as_expr, col, expand, is_aggregate, needs_order, output_name, walk
 from . import grouping, joins
 
@@ -84,6 +85,10 @@ class LazyFrame:
         def lift(e: Expr) -> Expr:
             if e.op == "over":
                 return e
+            if e.op == "cat.physical" and e.params["categories"] is None and len(e.args) == 1:
+                found = Expr("cat.categories", e.args, {"categories": None})
+                aggregates.append(found)
+                return Expr(e.op, (*e.args, col(lifted.setdefault(id(found), f"__agg{len(lifted)}"))), e.params)
             if is_aggregate(e) and not any(is_aggregate(a) for a in e.args):
                 name = lifted.setdefault(id(e), f"__agg{len(lifted)}")
                 if len(aggregates) < len(lifted):
@@ -98,18 +103,36 @@ class LazyFrame:
             row = source.agg(*[ctx.compile(e).alias(lifted[id(e)]) for e in aggregates])
             df = df.crossJoin(F.broadcast(row))  # exactly one row
 
+        runs: list[tuple[str, str, Expr]] = []
+
         def totals(e: Expr) -> Expr:
             nonlocal df
+            if e.op == "ewm" or e.op == "over" and e.args[0].op == "ewm":
+                return smooth(e)
             if e.op == "over":
                 return e
             e = Expr(e.op, tuple(map(totals, e.args)), e.params)
-            if e.op in TOTALS and not e.params["reverse"]:
-                name = f"__run{len(df.columns)}"
-                df = _scan(df, Context(df).compile(e.args[0]), e.op, name)
+            if e.op == "is_in_column" and not (isinstance(Context(df).kind(e.args[1]), T.ArrayType) and not isinstance(Context(df).kind(e.args[0]), T.ArrayType)):
+                name = f"__in{len(df.columns)}"
+                df = _member(df, Context(df).compile(e.args[0]), Context(df).compile(e.args[1]), e.params["nulls_equal"], name)
                 return col(name)
+            if e.op in TOTALS and not e.params["reverse"]:
+                runs.append((f"__run{len(df.columns)}_{len(runs)}", e.op, e.args[0]))
+                return col(runs[-1][0])
             return e
 
+        def smooth(e: Expr) -> Expr:
+            nonlocal df
+            name = f"__ewm{len(df.columns)}"
+            inner = e.args[0] if e.op == "over" else e
+            ctx = window_of(df, e) if e.op == "over" else Context(df)
+            df = smoothed(ctx, ctx.compile(inner.args[0]), inner.params, name)
+            return col(name)
+
         exprs = [totals(e) for e in exprs]
+        if runs:
+            ctx = Context(df)
+            df = _scan(df, [(name, op, ctx.compile(e)) for name, op, e in runs])
         ctx = Context(df)
         return df, [ctx.compile(e) for e in exprs]
 
@@ -117,6 +140,10 @@ class LazyFrame:
         """A projection; aggregates alone give one row, and beside row expressions are repeated."""
         exprs = self._outputs(values)
         names = _unique([output_name(e) for e in exprs])
+        if any(x.op == "over" and x.params["mapping"] == "explode" for e in exprs for x in walk(e)):
+            return self._exploded(exprs, names)
+        if any(x.op == "diff" and x.params["null_behavior"] == "drop" for e in exprs for x in walk(e)):
+            return self._shortened(exprs, names)
         if exprs and all(is_aggregate(e) and e.op != "over" or e.op == "lit" for e in exprs) and any(is_aggregate(e) for e in exprs):
             frame = self._with_order() if any(map(needs_order, exprs)) else self
             df = _numbered(frame._df) if any(x.op in ("arg_min", "arg_max") for e in exprs for x in walk(e)) else frame._df
@@ -126,6 +153,36 @@ class LazyFrame:
         hidden = [F.col(RID)] if RID in df.columns else []
         return LazyFrame(df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)], *hidden))
 
+    def _exploded(self, exprs: list[Expr], names: list[str]) -> "LazyFrame":
+        """Groups one after the other, in the order of their first rows, instead of in the order of the rows."""
+        cores = [e.meta.undo_aliases() for e in exprs]
+        require(all(e.op == "over" and e.params["mapping"] == "explode" for e in cores), "over(mapping='explode') stands only beside others of its kind")
+        keys = [list(map(repr, e.params["keys"])) for e in cores]
+        require(all(k == keys[0] for k in keys), "over(mapping='explode') takes the same partition in a select")
+        plain = [Expr("over", e.args, {**e.params, "mapping": "groups_to_rows"}) for e in cores]
+        frame = self._with_order()
+        df, columns = frame._compiled(plain)
+        group = list(map(Context(df).compile, cores[0].params["keys"]))
+        places = [window_of(df, e).position() for e in cores]
+        first = F.min(RID).over(Window.partitionBy(*group))
+        at = [F.row_number().over(Window.partitionBy(*group).orderBy(*p)) for p in places]
+        df = df.select(*[c.alias(f"__c{i}") for i, c in enumerate(columns)], first.alias("__first"), *[a.alias(f"__a{i}") for i, a in enumerate(at)])
+        out = df.select("__first", F.col("__a0").alias("__place"), F.col("__c0").alias(names[0]))
+        for i in range(1, len(names)):  # each column has its own order inside the group
+            out = out.join(df.select("__first", F.col(f"__a{i}").alias("__place"), F.col(f"__c{i}").alias(names[i])), ["__first", "__place"])
+        out = out.orderBy("__first", "__place").withColumn(RID, F.monotonically_increasing_id())
+        return LazyFrame(out.select(*[quoted(n) for n in names], RID))
+
+    def _shortened(self, exprs: list[Expr], names: list[str]) -> "LazyFrame":
+        """Differences without the first n rows, which have none."""
+        cores = [e.meta.undo_aliases() for e in exprs]
+        require(all(e.op == "diff" and e.params["null_behavior"] == "drop" for e in cores), "diff(null_behavior='drop') changes the height: it stands only beside others of its kind")
+        n = cores[0].params["n"]
+        require(n >= 0 and all(e.params["n"] == n for e in cores), "diff(null_behavior='drop') takes the same n in a select")
+        plain = [Expr("diff", e.args, {**e.params, "null_behavior": "ignore"}).alias(name) for e, name in zip(cores, names, strict=True)]
+        rows = _numbered(self.select(*plain)._with_order()._df)
+        return LazyFrame(rows.filter(F.col("__at") >= n).drop("__at"))
+
     def with_columns(self, *values, **named) -> "LazyFrame":
         """Adds or replaces columns; all are computed from the input."""
         exprs = self._outputs(values) + [as_expr(e).alias(n) for n, e in named.items()]
@@ -318,7 +375,7 @@ class LazyFrame:
     def sink_parquet(self, path: str, **o): return _sink(self, "parquet", path, o)  # noqa: E704
     def sink_csv(self, path: str, **o): return _sink(self, "csv", path, o)  # noqa: E704
     def sink_ndjson(self, path: str, **o): return _sink(self, "ndjson", path, o)  # noqa: E704
-    def sink_ipc(self, path: str, **o): return _sink(self, "ipc", path, o)  # noqa: E704
+    def sink_ipc(self, path: str, **o): return _sink(self, "ipc", path, {"parts": True, **o})  # noqa: E704
 
 
 OPTIMIZER_FLAGS = {
@@ -350,25 +407,42 @@ def _unique(names: list[str]) -> list[str]:
     return names
 
 
-def _starts(df: DataFrame, value: Column, f) -> DataFrame:
-    """(part, carry): for each partition the total of those before it; one row per partition."""
-    parts = df.groupBy(F.shiftright(F.col(RID), 33).alias("__part")).agg(f(value).alias("__total"))
+def _scan(df: DataFrame, runs: list[tuple[str, str, Column]]) -> DataFrame:
+    """Running totals (name, operation, value) over the whole frame, all in one pass: every partition by itself, and the totals
+    of the partitions before it, one row each. A row's partition is in its order number, so both sides agree on it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        # Both uses of the frame must see the same partitions; adaptive execution may deal a shuffle out anew for each.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright(F.col(RID), 33).alias("__part")
+    value = {name: f"__x_{name}" for name, _, _ in runs}
+    df = df.withColumns({value[name]: v for name, _, v in runs}).withColumn("__part", part)
+    carry = df.groupBy("__part").agg(*[TOTALS[op][0](value[name]).alias(f"__t_{name}") for name, op, _ in runs])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("__part", f("__total").over(before).alias("__carry"))
-
-
-def _scan(df: DataFrame, value: Column, op: str, name: str) -> DataFrame:
-    f, combine = TOTALS[op]
-    carry = _starts(df, value, f)
-    local = f(value).over(Window.partitionBy(F.shiftright(F.col(RID), 33)).orderBy(RID).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = df.withColumns({"__part": F.shiftright(F.col(RID), 33), "__x": value, "__local": local}).join(F.broadcast(carry), "__part", "left")
-    run = F.when(F.col("__x").isNotNull(), F.when(F.col("__carry").isNull(), F.col("__local")).otherwise(combine(F.col("__carry"), F.col("__local"))))
-    return df.withColumn(name, run).drop("__part", "__x", "__local", "__carry")
+    carry = carry.select("__part", *[TOTALS[op][0](f"__t_{name}").over(before).alias(f"__c_{name}") for name, op, _ in runs])
+    inside = Window.partitionBy("__part").orderBy(RID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({f"__l_{name}": TOTALS[op][0](value[name]).over(inside) for name, op, _ in runs}).join(F.broadcast(carry), "__part", "left")
+    made = {}
+    for name, op, _ in runs:
+        own, past = F.col(f"__l_{name}"), F.col(f"__c_{name}")
+        made[name] = F.when(F.col(value[name]).isNotNull(), F.when(past.isNull(), own).otherwise(TOTALS[op][1](past, own)))
+    df = df.withColumns(made)
+    return df.drop("__part", *[f"{k}{name}" for name, _, _ in runs for k in ("__x_", "__l_", "__c_")])
+
+
+def _member(df: DataFrame, x: Column, values: Column, nulls_equal: bool, name: str) -> DataFrame:
+    """With the column ``name``: whether x is among all rows' values. The distinct values are joined: broadcast while
+    small, else shuffled."""
+    found = df.select(values.alias("__v")).distinct().withColumn("__found", F.lit(True))
+    df = df.withColumn("__m", x)
+    same = F.col("__m").eqNullSafe(F.col("__v")) if nulls_equal else F.col("__m") == F.col("__v")
+    seen = F.coalesce(F.col("__found"), F.lit(False))
+    out = df.join(found, same, "left").withColumn(name, seen if nulls_equal else F.when(F.col("__m").isNotNull(), seen))
+    return out.drop("__v", "__found", "__m")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
     """With ``__at``: gapless positions from 0 in row order."""
     if RID not in df.columns:
         df = df.withColumn(RID, F.monotonically_increasing_id())
-    df = _scan(df, F.lit(1).cast("bigint"), "cum_sum", "__at")
+    df = _scan(df, [("__at", "cum_sum", F.lit(1).cast("bigint"))])
     return df.withColumn("__at", F.col("__at") - 1)

@@ -74,6 +74,16 @@ class DynamicGroupBy:
         require(self._every.positive and self._period.positive, "windows are positive")
         self._closed, self._label, self._bounds, self._start = closed, label, include_boundaries, start_by
 
+    def _with_first(self, df: DataFrame) -> DataFrame:
+        """With ``__o``: the first index of the row's group; a null key is a group of its own."""
+        first = df.groupBy(*[quoted(k).alias(f"__f{i}") for i, k in enumerate(self._by)]).agg(F.min("__t").alias("__o"))
+        if not self._by:
+            return df.crossJoin(F.broadcast(first))  # exactly one row
+        same = F.lit(True)
+        for i, k in enumerate(self._by):
+            same = same & quoted(k).eqNullSafe(F.col(f"__f{i}"))
+        return df.join(first, same).drop(*[f"__f{i}" for i in range(len(self._by))])
+
     def agg(self, *values):
         from .frame import LazyFrame, _exprs
 
@@ -90,17 +100,27 @@ class DynamicGroupBy:
             i = F.year(wall) * 12 + F.month(wall) - 1 - self._offset.months
             last = F.floor(i / self._every.months)
             first = last - -(-self._period.months // self._every.months)
+            require(self._start not in DAYS, "calendar windows start at their bound or at the first row")
+            if self._start == "data_point":
+                df = self._with_first(df)
+                origin = F.timestamp_micros(F.col("__o") + self._offset.micros).cast("timestamp_ntz")
+                i = (F.year(wall) - F.year(origin)) * 12 + F.month(wall) - F.month(origin) - self._offset.months
+                last = F.floor(i / self._every.months)
+                first = last - -(-self._period.months // self._every.months) - 1
+                df = df.withColumn("__w", F.explode(F.sequence(first, last)))
+                at = lambda m: F.unix_micros((origin + F.make_ym_interval(F.lit(0), (m + self._offset.months).cast("int"))).cast("timestamp"))
+                df = df.withColumns({"__lo": at(F.col("__w") * self._every.months), "__hi": at(F.col("__w") * self._every.months + self._period.months)})
+        if (self._every.months or self._period.months) and self._start != "data_point":
             df = df.withColumn("__w", F.explode(F.sequence(first, last)))
             month = lambda m: F.unix_micros(F.make_date(F.floor((m + self._offset.months) / 12).cast("int"), (F.pmod(m + self._offset.months, F.lit(12)) + 1).cast("int"), F.lit(1)).cast("timestamp_ntz").cast("timestamp")) + self._offset.micros  # noqa: E731, E501
             df = df.withColumns({"__lo": month(F.col("__w") * self._every.months), "__hi": month(F.col("__w") * self._every.months + self._period.months)})
-        else:
+        elif not self._every.months:
             step, size = (d.micros or d.index for d in (self._every, self._period))
             origin = F.lit(self._offset.micros or self._offset.index)
             if self._start in DAYS:
                 origin = origin + F.lit((4 + DAYS.index(self._start)) * durations.MICROS["d"])
             elif self._start == "data_point":
-                first = df.groupBy(*map(quoted, self._by)).agg(F.min("__t").alias("__o"))
-                df = df.join(first, self._by) if self._by else df.crossJoin(F.broadcast(first))
+                df = self._with_first(df)
                 origin = origin + F.col("__o")
             elif is_time and step % durations.MICROS["w"] == 0:
                 origin = origin + F.lit(4 * durations.MICROS["d"])  # weeks begin on Monday
@@ -134,6 +154,8 @@ class RollingGroupBy:
         df = self._frame._with_order()._df
         t, _ = _index(df, self._index)
         df = df.withColumn("__t", t)
+        if any(x.op in ("arg_min", "arg_max") for e in exprs for x in walk(e)):
+            df = df.withColumn("__at", F.row_number().over(Window.partitionBy(*map(quoted, self._by)).orderBy("__t", RID)))
         lo = self._offset.micros or self._offset.index
         hi = lo + (self._period.micros or self._period.index)
         lo += self._closed in ("right", "none")
@@ -142,6 +164,8 @@ class RollingGroupBy:
         frame = Window.partitionBy(*by).orderBy("__t").rangeBetween(lo, hi)
 
         class Rolling(Context):
+            sliding = True
+
             def agg(self, c):
                 return c.over(frame)
 

@@ -181,9 +181,10 @@ class Expr:
     def atan2(self, x): return self._f("atan2", x)  # noqa: E704
 
     def is_in(self, values, nulls_equal: bool = False):
-        """Membership in literals, or in all the values of an expression."""
+        """Membership in literals, in all the values of an expression, or in the row's own list if the
+        expression is a list and this one isn't."""
         if isinstance(values, Expr):
-            return Expr("is_in_column", (self, Expr("implode", (values,), {})), {"nulls_equal": nulls_equal})
+            return Expr("is_in_column", (self, values), {"nulls_equal": nulls_equal})
         return self._f("is_in", *values, nulls_equal=nulls_equal)
 
     # ---- aggregates
@@ -230,7 +231,7 @@ class Expr:
         keys = [partition_by] if isinstance(partition_by, (str, Expr)) else list(partition_by)
         order = [order_by] if isinstance(order_by, (str, Expr)) else list(order_by)
         require(bool(keys or order), "over() needs a partition or an order")
-        require(mapping in ("groups_to_rows", "join"), f"no mapping {mapping} for a single column")
+        require(mapping in ("groups_to_rows", "join", "explode"), f"no mapping {mapping}")
         named = lambda xs: tuple(col(x) if isinstance(x, str) else x for x in xs)
         return Expr("over", (self,), {"keys": named(keys), "order": named(order), "descending": descending, "nulls_last": nulls_last, "mapping": mapping})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import require
@@ -19,16 +20,22 @@ def scan_parquet(spark: SparkSession, path: str, n_rows: int | None = None, para
     return _limited(spark.read.parquet(path), n_rows)
 
 
-def scan_csv(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", skip_rows: int = 0, n_rows: int | None = None, try_parse_dates: bool = False) -> LazyFrame:
-    """Types are inferred; dates only on request."""
+def scan_csv(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", skip_rows: int = 0, n_rows: int | None = None, try_parse_dates: bool = False, quoted_lines: bool | None = None) -> LazyFrame:
+    """Types are inferred; dates only on request. ``quoted_lines``: whether fields hold line ends, which makes a file
+    one task; by default that is looked up: only then does a line hold an odd number of quotes."""
     require(len(separator) == 1, "one separator character")
-    reader = spark.read.option("sep", separator).option("inferSchema", True).option("header", has_header).option("multiLine", True).option("escape", '"')
+    if quoted_lines is None:
+        quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+        quoted_lines = not skip_rows and spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+    reader = spark.read.option("sep", separator).option("inferSchema", True).option("header", has_header).option("multiLine", quoted_lines).option("escape", '"')
     reader = reader.option("preferDate", try_parse_dates)
     if skip_rows:
         lines = _numbered(spark.read.text(path)).filter(F.col("__at") >= skip_rows).orderBy("__at").select("value")
         df = reader.option("multiLine", False).csv(lines.rdd.map(lambda r: r[0]))
     else:
         df = reader.csv(path)
+        wide = [T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.IntegerType) else f.dataType) for f in df.schema.fields]
+        df = reader.option("inferSchema", False).schema(T.StructType(wide)).csv(path)  # whole numbers have 64 bits
     if not has_header:
         df = df.toDF(*[f"column_{i + 1}" for i in range(len(df.columns))])
     return _limited(df, n_rows)
@@ -60,35 +67,53 @@ class ArrowFileSource(DataSource):
     def name(cls) -> str:
         return "skein_arrow"
 
-    def _open(self, path: str):
+    @staticmethod
+    def files(path: str) -> list[str]:
+        """The file, or the part files of a folder in order."""
+        fs, p = _located(path)
+        if fs.get_file_info(p).is_file:
+            return [path]
         import pyarrow.fs as pafs
+
+        found = [i for i in fs.get_file_info(pafs.FileSelector(p)) if i.is_file and i.base_name.endswith(".arrow")]
+        return [f"{path.rstrip('/')}/{i.base_name}" for i in sorted(found, key=lambda i: i.base_name)]
+
+    @staticmethod
+    def open(path: str):
         import pyarrow.ipc as ipc
 
-        fs, p = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs, p = _located(path)
         return ipc.open_file(fs.open_input_file(p))
 
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(_storable(self._open(self.options["path"]).schema))
+        return from_arrow_schema(_storable(self.open(self.files(self.options["path"])[0]).schema))
 
     def reader(self, schema):
         return _ArrowReader(self)
 
 
+def _located(path: str):
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 class _ArrowReader(DataSourceReader):
     def __init__(self, source: ArrowFileSource):
         self._source = source
 
     def partitions(self):
-        path = self._source.options["path"]
-        return [_Part(path, i) for i in range(self._source._open(path).num_record_batches)] or [_Part(path, -1)]
+        s = self._source
+        files = s.files(s.options["path"])
+        return [_Part(f, i) for f in files for i in range(s.open(f).num_record_batches)] or [_Part(files[0], -1)]
 
     def read(self, partition):
         if partition.batch >= 0:
             import pyarrow as pa
 
-            f = self._source._open(partition.path)
+            f = self._source.open(partition.path)
             table = pa.Table.from_batches([f.get_batch(partition.batch)])
             yield from table.cast(_storable(table.schema)).to_batches()
 

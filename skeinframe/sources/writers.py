@@ -74,15 +74,51 @@ def write_json(frame, path: str) -> None:
         json.dump([json.loads(r[0]) for r in rows], f)
 
 
-def write_ipc(frame, path: str, compression: str | None = None, maintain_order: bool = True) -> None:
-    """An Arrow IPC file, batch by batch from Spark's partitions; the driver holds one partition at a time."""
-    _ipc(frame, path, compression, maintain_order, stream=False)
+def write_ipc(frame, path: str, compression: str | None = None, maintain_order: bool = True, parts: bool = False) -> None:
+    """One Arrow IPC file, through the driver, which holds the whole result; with ``parts`` a folder with a file per
+    partition, written by the executors and shown when all are done."""
+    if parts:
+        _ipc_parts(frame, path, compression, maintain_order)
+    else:
+        _ipc(frame, path, compression, maintain_order, stream=False)
 
 
 def write_ipc_stream(frame, path: str, compression: str | None = None, maintain_order: bool = True) -> None:
+    """One Arrow IPC stream, through the driver, which holds the whole result."""
     _ipc(frame, path, compression, maintain_order, stream=True)
 
 
+def _ipc_parts(frame, path, compression, maintain_order):
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    require(compression in (None, "lz4", "zstd"), f"no compression {compression}")
+    df = _storable(_ordered(frame, maintain_order))
+    schema, uri = to_arrow_schema(df.schema), path if "://" in path else f"file://{path}"
+
+    def run(batches):
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.arrow"
+        with fs.open_output_stream(name + ".tmp") as out, pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as w:
+            for batch in batches:
+                w.write_table(pa.Table.from_batches([batch]).cast(schema))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    # Names of the tasks that succeeded, one each; files of repeated or lost attempts keep their ending and are removed.
+    done = [r["name"] for r in df.mapInArrow(run, "name string").collect()]
+    fs, folder = pafs.FileSystem.from_uri(uri)
+    for name in done:
+        fs.move(name + ".tmp", name)
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.base_name.endswith(".arrow.tmp"):
+            fs.delete_file(info.path)
+
+
 def _ipc(frame, path, compression, maintain_order, stream):
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema

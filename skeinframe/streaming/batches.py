@@ -15,6 +15,19 @@ from ..functions.compiler import RID
 _END = object()
 
 
+def _packed(batches):
+    """Each Arrow batch of a task as one binary value, so that the driver gets batches and not rows."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as w:
+            w.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
+def _one(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
 class BatchStream:
     """Batches of ``batch_rows`` rows in row order; at most ``capacity`` wait, then the producer does."""
 
@@ -41,16 +54,19 @@ class BatchStream:
         schema = to_arrow_schema(df.schema)
         try:
             self._lazy.spark.addTag(self._tag)
-            held: list[dict] = []
-            for row in df.toLocalIterator(prefetchPartitions=True):
-                held.append(row.asDict(recursive=True))
-                if len(held) == self._rows:
-                    self._put(pa.RecordBatch.from_pylist(held, schema))
-                    held = []
+            held, rows = [], 0
+            for row in df.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+                for batch in pa.ipc.open_stream(row[0]):
+                    held.append(pa.Table.from_batches([batch]).cast(schema))
+                    rows += batch.num_rows
+                while rows >= self._rows:
+                    whole = pa.concat_tables(held)
+                    self._put(_one(whole.slice(0, self._rows)))
+                    held, rows = [whole.slice(self._rows)], rows - self._rows
                 if self._stop.is_set():
                     return
-            if held:
-                self._put(pa.RecordBatch.from_pylist(held, schema))
+            if rows:
+                self._put(_one(pa.concat_tables(held)))
         except Exception as e:
             self._error = e
         finally:

@@ -10,6 +10,19 @@ from ..errors import Cancelled, ComputeError, InvalidRequest, IoError, SkeinErro
 
 MOST = 64
 _slots = threading.BoundedSemaphore(MOST)
+_running = threading.Lock()
+_count = 0
+
+
+def active() -> int:
+    """Jobs that run now."""
+    return _count
+
+
+def _changed(by: int) -> None:
+    global _count
+    with _running:
+        _count += by
 
 
 def guarded(f):
@@ -36,6 +49,7 @@ class Job:
             raise InvalidRequest(f"{MOST} jobs are active")
         self._lazy, self._tag = lazy, f"skein-{uuid.uuid4().hex}"
         self._state, self._result, self._error = "running", None, None
+        _changed(1)
         self._thread = InheritableThread(target=self._run, daemon=True)
         self._thread.start()
 
@@ -50,6 +64,7 @@ class Job:
             self._state = "cancelled" if self._state == "cancelling" else "failed"
         finally:
             spark.removeTag(self._tag)
+            _changed(-1)
             _slots.release()
 
     def poll(self) -> str:
