@@ -9,7 +9,9 @@ adding it needs no shuffle.
 
 Running sums, minima and maxima over a whole frame don't collapse to one task:
 each partition is scanned by itself and then shifted by the totals of the
-partitions before it (one row per partition, broadcast).
+partitions before it (one row per partition, broadcast). Functions that look a bounded
+number of rows away (shift, diff, pct_change, rolling) run in blocks of positions with
+copies of the rows at their edges.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from ..plans.expr import Expr, as_expr, col, expand, is_aggregate, needs_order,
 from . import grouping, joins
 
 TOTALS = {"cum_sum": (F.sum, lambda a, b: a + b), "cum_min": (F.min, F.least), "cum_max": (F.max, F.greatest)}
-BROADCAST_ROWS = 1_000_000
+#: Functions that look at most so many rows away, over a whole frame.
+REACH = {"shift": lambda p: abs(p["n"]), "diff": lambda p: abs(p["n"]), "pct_change": lambda p: abs(p["n"]), "rolling": lambda p: p["size"]}
+BLOCK_ROWS = 1 << 20
 
 
 def _exprs(values) -> list[Expr]:
@@ -103,22 +107,36 @@ class LazyFrame:
             row = source.agg(*[ctx.compile(e).alias(lifted[id(e)]) for e in aggregates])
             df = df.crossJoin(F.broadcast(row))  # exactly one row
 
-        runs: list[tuple[str, str, Expr]] = []
+        waiting: dict[str, Expr] = {}  # running totals and neighbours to compute, by the name of their column
+
+        def flush() -> None:
+            nonlocal df
+            ctx = Context(df)
+            runs = [(name, e.op, ctx.compile(e.args[0])) for name, e in waiting.items() if e.op in TOTALS]
+            near = {name: e for name, e in waiting.items() if e.op not in TOTALS}
+            waiting.clear()
+            df = _scan(df, runs) if runs else df
+            df = _neighbours(df, near) if near else df
 
         def totals(e: Expr) -> Expr:
             nonlocal df
             if e.op == "ewm" or e.op == "over" and e.args[0].op == "ewm":
+                flush()
                 return smooth(e)
             if e.op == "over":
                 return e
             e = Expr(e.op, tuple(map(totals, e.args)), e.params)
             if e.op == "is_in_column" and not (isinstance(Context(df).kind(e.args[1]), T.ArrayType) and not isinstance(Context(df).kind(e.args[0]), T.ArrayType)):
+                flush()
                 name = f"__in{len(df.columns)}"
                 df = _member(df, Context(df).compile(e.args[0]), Context(df).compile(e.args[1]), e.params["nulls_equal"], name)
                 return col(name)
-            if e.op in TOTALS and not e.params["reverse"]:
-                runs.append((f"__run{len(df.columns)}_{len(runs)}", e.op, e.args[0]))
-                return col(runs[-1][0])
+            if e.op in TOTALS and not e.params["reverse"] or e.op in REACH:
+                if any(x.op == "col" and x.params["name"] in waiting for x in walk(e)):
+                    flush()
+                name = f"__run{len(df.columns)}_{len(waiting)}"
+                waiting[name] = e
+                return col(name)
             return e
 
         def smooth(e: Expr) -> Expr:
@@ -130,9 +148,7 @@ class LazyFrame:
             return col(name)
 
         exprs = [totals(e) for e in exprs]
-        if runs:
-            ctx = Context(df)
-            df = _scan(df, [(name, op, ctx.compile(e)) for name, op, e in runs])
+        flush()
         ctx = Context(df)
         return df, [ctx.compile(e) for e in exprs]
 
@@ -429,6 +445,21 @@ def _scan(df: DataFrame, runs: list[tuple[str, str, Column]]) -> DataFrame:
     return df.drop("__part", *[f"{k}{name}" for name, _, _ in runs for k in ("__x_", "__l_", "__c_")])
 
 
+def _neighbours(df: DataFrame, made: dict[str, Expr]) -> DataFrame:
+    """With columns of functions that look a bounded number of rows away over the whole frame. Rows are dealt into
+    blocks of their positions; rows within reach of an edge are also put into the block beyond it, as ghosts, so
+    every block is a window of its own."""
+    reach = max(REACH[e.op](e.params) for e in made.values())
+    size = max(BLOCK_ROWS, reach)
+    own = F.expr(f"__at div {size}")
+    inside = F.col("__at") % size
+    to = F.array(own, F.when(inside >= size - reach, own + 1), F.when((inside < reach) & (own > 0), own - 1))
+    rows = _numbered(df).withColumn("__block", F.explode(F.array_compact(to)))
+    ctx = Context(rows, (F.col("__block"),))
+    rows = rows.withColumns({name: ctx.compile(e) for name, e in made.items()})
+    return rows.filter(F.col("__block") == F.expr(f"__at div {size}")).drop("__at", "__block")
+
+
 def _member(df: DataFrame, x: Column, values: Column, nulls_equal: bool, name: str) -> DataFrame:
     """With the column ``name``: whether x is among all rows' values. The distinct values are joined: broadcast while
     small, else shuffled."""

@@ -213,6 +213,21 @@ def test_smoothing_against_weights(make, options):
     assert [a is None for a in got[:-1]] == [x is None for x in xs]
 
 
+def test_neighbours_across_blocks(make, monkeypatch):
+    from skeinframe.operators import frame
+
+    xs = [float((7 * k) % 23) for k in range(50)]
+    f = make(x=pa.array(xs)).lazy()
+    x = col("x")
+    made = [x.shift(2).alias("s"), x.shift(-3).alias("l"), x.diff().alias("d"), x.rolling_sum(4).alias("r"), x.rolling_mean(5, center=True).alias("m"), x.cum_sum().shift(1).alias("c"), x.pct_change().is_null().alias("p"), x.shift(1).rolling_max(2).alias("x")]
+    whole = f.select(*made).collect().to_dicts()
+    monkeypatch.setattr(frame, "BLOCK_ROWS", 5)
+    assert f.select(*made).collect().to_dicts() == whole
+    assert [r["s"] for r in whole] == [None, None, *xs[:-2]] and [r["l"] for r in whole] == [*xs[3:], None, None, None]
+    assert [r["r"] for r in whole] == [sum(xs[max(0, k - 3) : k + 1]) for k in range(50)]
+    assert [r["c"] for r in whole][1:] == [sum(xs[: k + 1]) for k in range(49)]
+
+
 def test_arrow_files_in_parts(make, spark, tmp_path):
     f = sk.DataFrame.from_arrow(spark, pa.table({"a": list(range(100)), "b": [None, "x"] * 50})).lazy()
     path = str(tmp_path / "parts")
