@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, external_shuffle, hyperminhash, knn_quality, line_rules, line_rules_sql, repair_store, scaled_sketch, temperature_mix, token_counts, warc_zip
+from . import bpe, common, external_shuffle, hyperminhash, knn_quality, line_rules, line_rules_sql, more_sql, repair_store, scaled_sketch, temperature_mix, token_counts, warc_zip
 
 SHARDS = 40
 
@@ -88,4 +88,4 @@ def queries() -> dict:
 
 
 #: DuckDB SQL for the queries that it can express.
-ORACLE: dict[str, str] = {"op4_line_rules": line_rules_sql.line_rules_sql()}
+ORACLE: dict[str, str] = {"op1_warc_zip": more_sql.warc_zip_sql(), "op4_line_rules": line_rules_sql.line_rules_sql(), "op8_hyperminhash": more_sql.hyperminhash_sql(85)}
