@@ -106,8 +106,10 @@ def learn(ids: np.ndarray, stop: int, base: int, most_symbols: int = 1 << 16) ->
         marked[(named * mix) >> kind(2 * bits - MARK_BITS)] = True
         at = np.flatnonzero(marked[(keys * mix) >> kind(2 * bits - MARK_BITS)] & counted)
         order = np.argsort(named)
-        found = order[np.minimum(np.searchsorted(named, keys[at], sorter=order), len(named) - 1)] if len(named) else at[:0]
-        hit = named[found] == keys[at]
+        ascending, mine = named[order], keys[at]
+        found = np.minimum(np.searchsorted(ascending, mine), len(named) - 1)
+        hit = ascending[found] == mine
+        found = order[found]
         at, mine = at[hit], found[hit]
         if not len(at):
             break
