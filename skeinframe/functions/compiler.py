@@ -440,14 +440,18 @@ _aggregate("arg_max")(lambda ctx, e, x: _arg(ctx, x, True))
 
 @_aggregate("mode")
 def _(ctx, e, x):
-    """The most frequent values as a list; order of first appearance is not kept (values are sorted)."""
+    """The most frequent values as a list, sorted, or in the order of their first rows."""
     all_ = F.filter(F.sort_array(ctx.agg(F.collect_list(x))), lambda v: v.isNotNull())
     runs = F.aggregate(
         all_,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("best"), F.slice(all_, 1, 0).alias("modes"), F.slice(all_, 1, 1).alias("now")),
         lambda s, v: _run(s, v),
     )
-    return runs["modes"]
+    if not e.params["maintain_order"]:
+        return runs["modes"]
+    values = _in_order(ctx, x)
+    placed = F.transform(runs["modes"], lambda v: F.struct(F.array_position(values, v).alias("at"), v.alias("v")))
+    return F.transform(F.array_sort(placed), lambda s: s["v"])
 
 
 def _run(s: Column, v: Column) -> Column:

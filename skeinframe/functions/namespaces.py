@@ -273,7 +273,12 @@ def _(ctx, e, x, every):
 @space("dt.round", every="1d")
 def _(ctx, e, x, every):
     d = durations.parse(every)
-    require(bool(d.micros) and not d.months, "round by a fixed duration")
+    if d.months and not d.micros:  # to the nearer of the calendar steps around it, half up
+        low = truncated(ctx, e, x, d)
+        high = F.add_months(low, F.lit(d.months)).cast(ctx.kind(e.args[0]))
+        at, lo, hi = (F.timestamp_diff("MICROSECOND", F.expr(EPOCH), y.cast("timestamp_ntz")) for y in (x, low, high))
+        return F.when(at - lo >= hi - at, high).otherwise(low)
+    require(bool(d.micros) and not d.months, "round by calendar steps or by a fixed duration")
     us = micros(ctx, e, x) + d.micros // 2
     shift = 4 * durations.MICROS["d"] if d.micros % durations.MICROS["w"] == 0 else 0
     return from_micros(ctx, e, us - F.pmod(us - shift, F.lit(d.micros)))
@@ -378,13 +383,10 @@ space("arr.to_list")(lambda ctx, e, x: x)
 @space("arr.explode", empty_as_null=True, keep_nulls=True)
 def _(ctx, e, x, empty_as_null, keep_nulls):
     """One row per element; alone in a select."""
-    if empty_as_null and keep_nulls:
-        return F.explode_outer(x)
-    if not empty_as_null and not keep_nulls:
-        return F.explode(x)
+    one = F.array(F.lit(None).cast(ctx.kind(e.args[0]).elementType))
     if empty_as_null:
-        return F.explode_outer(F.when(x.isNull(), F.lit(None)).otherwise(x))
-    raise Unsupported("keep_nulls without empty_as_null")
+        x = F.when(F.size(x) == 0, one).otherwise(x)
+    return F.explode(F.coalesce(x, one) if keep_nulls else x)
 
 
 # ---------------------------------------------------------------- structs, binary, categories

@@ -17,6 +17,7 @@ copies of the rows at their edges.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -239,10 +240,7 @@ class LazyFrame:
 
     def diff_drop(self, column: str, n: int = 1) -> "LazyFrame":
         """``diff`` of one column without its first n rows."""
-        frame = self._with_order()
-        w = Window.orderBy(RID)
-        df = frame._df.select((quoted(column) - F.lag(quoted(column), n).over(w)).alias(column), F.row_number().over(w).alias("__n"), RID)
-        return LazyFrame(df.filter(F.col("__n") > n).drop("__n"))
+        return self.select(col(column).diff(n, "drop"))
 
     # ---- order and slices
 
@@ -354,7 +352,9 @@ class LazyFrame:
         from ..streaming.jobs import guarded
 
         check_options(options)
-        return guarded(lambda: Eager.materialised(self))
+        off = [OPTIMIZER_FLAGS[k] for k, v in options.items() if v is False and OPTIMIZER_FLAGS.get(k)]
+        with _without(self.spark, off):
+            return guarded(lambda: Eager.materialised(self))
 
     def submit(self):
         from ..streaming.jobs import Job
@@ -403,8 +403,23 @@ OPTIMIZER_FLAGS = {
 }
 
 
+@contextmanager
+def _without(spark: SparkSession, rules: list[str]):
+    """Without some of the optimizer's rules. The setting is the session's, so it holds for other work of the session meanwhile."""
+    name = "spark.sql.optimizer.excludedRules"
+    before = spark.conf.get(name, None)
+    if rules:
+        spark.conf.set(name, ",".join([before, *rules] if before else rules))
+    try:
+        yield
+    finally:
+        if rules:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def check_options(options: dict) -> None:
-    """Engine names and optimizer flags are accepted; Spark has one engine and its own optimizer."""
+    """Flags that name a rule of Spark's optimizer turn it off where they are False (Spark keeps those it can't do
+    without); the others, and engine names, are accepted only."""
     require(options.get("engine", "auto") in ("auto", "in_memory", "streaming"), "engine is auto, in_memory or streaming")
     unknown = set(options) - {"engine"} - set(OPTIMIZER_FLAGS)
     require(not unknown, f"no options {sorted(unknown)}")

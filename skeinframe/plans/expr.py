@@ -469,4 +469,4 @@ def is_aggregate(e: Expr) -> bool:
 
 def needs_order(e: Expr) -> bool:
     """Whether the result depends on the order of rows."""
-    return any(x.op in ORDERED or x.op in ("first", "last", "arg_min", "arg_max", "implode") for x in walk(e))
+    return any(x.op in ORDERED or x.op in ("first", "last", "arg_min", "arg_max", "implode") or x.op == "mode" and x.params["maintain_order"] for x in walk(e))

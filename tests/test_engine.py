@@ -228,6 +228,35 @@ def test_neighbours_across_blocks(make, monkeypatch):
     assert [r["c"] for r in whole][1:] == [sum(xs[: k + 1]) for k in range(49)]
 
 
+def test_list_explode_modes_and_calendar_rounding(make):
+    import datetime
+
+    f = make(a=pa.array([[1, 2], [], None], pa.list_(pa.int64()))).lazy()
+    got = {(e, k): sorted(values(f.select(col("a").arr.explode(e, k).alias("a")), "a"), key=str) for e in (True, False) for k in (True, False)}
+    assert got == {(True, True): [1, 2, None, None], (True, False): [1, 2, None], (False, True): [1, 2, None], (False, False): [1, 2]}
+    g = make(x=["c", "b", "a", "b", "c"]).lazy()
+    assert values(g.select(col("x").mode()), "x") == [["b", "c"]] and values(g.select(col("x").mode(maintain_order=True)), "x") == [["c", "b"]]
+    d = make(t=pa.array([datetime.datetime(2024, 1, 16), datetime.datetime(2024, 1, 16, 12), datetime.datetime(2024, 12, 30)])).lazy()
+    assert [v.strftime("%Y-%m") for v in values(d.select(col("t").dt.round("1mo")), "t")] == ["2024-01", "2024-02", "2025-01"]
+
+
+def test_optimizer_flags(make, spark):
+    name = "spark.sql.optimizer.excludedRules"
+    f = make(a=i32(1, 2, 3)).lazy().filter(col("a") > 1)
+    seen = []
+    from skeinframe.operators import eager
+
+    plain = eager.DataFrame.materialised.__func__
+    try:
+        eager.DataFrame.materialised = classmethod(lambda cls, lazy: (seen.append(spark.conf.get(name, None)), plain(cls, lazy))[1])
+        assert f.collect(predicate_pushdown=False, type_check=False).height == 2
+    finally:
+        eager.DataFrame.materialised = classmethod(plain)
+    assert "PushDownPredicates" in seen[0] and spark.conf.get(name, None) is None
+    with pytest.raises(InvalidRequest):
+        f.collect(no_such_flag=True)
+
+
 def test_arrow_files_in_parts(make, spark, tmp_path):
     f = sk.DataFrame.from_arrow(spark, pa.table({"a": list(range(100)), "b": [None, "x"] * 50})).lazy()
     path = str(tmp_path / "parts")
