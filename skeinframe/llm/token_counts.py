@@ -108,6 +108,8 @@ class Counter:
             raise ValueError("byte-level BPE without normalizer or prefix space only")
         self.merger = Merger(model["vocab"], model["merges"])
         added = [t["content"] for t in spec["added_tokens"]]
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their neighbours aren't supported")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.find = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
