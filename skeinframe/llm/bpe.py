@@ -6,8 +6,8 @@ of its children, so the root is the leftmost pair of minimum rank. A merge
 joins two live neighbours and updates at most three leaves, each in
 logarithmic time: a pre-token of n bytes takes O(n log n), however long.
 
-Merged pre-tokens of up to ``KEEP_CHARS`` characters are kept (at most
-``KEEP_PIECES`` of them, then the store is emptied), since most repeat.
+Merged pre-tokens of up to ``KEEP_CHARS`` characters are kept, since most repeat: when
+``KEEP_PIECES`` are held, they become the older store, from which those that come again return.
 Documents are independent: no shuffle, any executor can redo any split.
 
 Defined results: null text encodes as the empty text (no ids, empty bytes);
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-KEEP_PIECES, KEEP_CHARS = 400_000, 64
+KEEP_PIECES, KEEP_CHARS = 300_000, 64
 
 
 def load_ranks(path: str) -> bytes:
@@ -40,7 +41,12 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_ranks(ranks: dict[bytes, int]) -> list[int | None]:
+    """Ranks of all pairs of bytes, by 256 * first + second."""
+    return [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+
+
+def merge_piece(piece: bytes, ranks: dict[bytes, int], pairs: list[int | None]) -> list[int]:
     """Ids of one pre-token, by leftmost minimum-rank merges on a segment tree."""
     n = len(piece)
     if n == 0:
@@ -48,48 +54,65 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    size = 1
-    while size < n:
-        size *= 2
-    none = (1 << 62) | (size - 1)
+    size = 1 << (n - 2).bit_length() if n > 2 else 1  # leaves: the pairs that start at 0 to n - 2
+    none, mask = 1 << 62, size - 1
     tree = [none] * (2 * size)
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
+    get, i = ranks.get, 0
+    for a, b in zip(piece, piece[1:], strict=False):
+        r = pairs[a << 8 | b]
         if r is not None:
             tree[size + i] = r * size + i
+        i += 1
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     after = list(range(1, n + 2))  # start of the next live part
     before = list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    while tree[1] < none and tree[1] >> 62 == 0:
-        i = tree[1] % size
+    while tree[1] < none:
+        i = tree[1] & mask
         j = after[i]
         k = after[j]
         after[i] = k
+        # Leaf j is gone; leaf i, and that of the part before it, have a new right side. Each is put and
+        # carried up with the smaller of itself and its sibling, as far as that changes a node.
+        r = None
         if k < n:
             before[k] = i
-        put(j, none)
-        r = get(piece[i : after[k]]) if k < n else None
-        put(i, none if r is None else r * size + i)
+            r = get(piece[i : after[k]])
+            x, v = size + j, none
+            tree[x] = v
+            while x > 1:
+                y = tree[x ^ 1]
+                if y < v:
+                    v = y
+                x >>= 1
+                if tree[x] == v:
+                    break
+                tree[x] = v
+        x, v = size + i, none if r is None else r * size + i
+        tree[x] = v
+        while x > 1:
+            y = tree[x ^ 1]
+            if y < v:
+                v = y
+            x >>= 1
+            if tree[x] == v:
+                break
+            tree[x] = v
         h = before[i]
         if h >= 0:
             r = get(piece[h:k])
-            put(h, none if r is None else r * size + h)
+            x, v = size + h, none if r is None else r * size + h
+            if tree[x] != v:
+                tree[x] = v
+                while x > 1:
+                    y = tree[x ^ 1]
+                    if y < v:
+                        v = y
+                    x >>= 1
+                    if tree[x] == v:
+                        break
+                    tree[x] = v
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -104,25 +127,38 @@ class Codec:
         import regex
 
         self.ranks = parse_ranks(raw)
+        self.pairs = pair_ranks(self.ranks)
         self.tokens = {v: k for k, v in self.ranks.items()}
+        self.digits = {v: str(v) for v in self.tokens}
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a pre-token that isn't in the newer store."""
+        got = self.older.get(piece)
+        if got is None:
+            got = tuple(merge_piece(piece.encode(), self.ranks, self.pairs))
+        if len(piece) <= KEEP_CHARS:
+            if len(self.known) >= KEEP_PIECES:
+                self.known, self.older = {}, self.known
+            self.known[piece] = got
+        return got
 
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
         if not text:
-            return ids
-        known, add = self.known, ids.extend
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                got = tuple(merge_piece(piece.encode(), self.ranks))
-                if len(piece) <= KEEP_CHARS:
-                    if len(known) >= KEEP_PIECES:
-                        known.clear()
-                    known[piece] = got
-            add(got)
-        return ids
+            return []
+        pieces = self.find(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            for k, got in enumerate(found):
+                if got is None:
+                    found[k] = self.known.get(pieces[k]) or self._piece(pieces[k])
+        return list(chain.from_iterable(found))
+
+    def joined(self, ids: list[int]) -> str:
+        """Decimal ids joined by one blank."""
+        return " ".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -179,7 +215,7 @@ def encode_digest(df: DataFrame, vocabulary: str, pattern: str, text: str = "tex
         for t in texts:
             ids = c.encode(t)
             n.append(len(ids))
-            ids_sha.append(sha(" ".join(map(str, ids)).encode()))
+            ids_sha.append(sha(c.joined(ids).encode()))
             decoded_sha.append(sha(c.decode(ids)))
         return [(n, pa.int64()), (ids_sha, pa.string()), (decoded_sha, pa.string())]
 
