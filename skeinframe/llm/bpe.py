@@ -186,7 +186,7 @@ def _adding(df: DataFrame, text: str, new: list[T.StructField], pairs, keep_text
             arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(v, t) for v, t in made]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.tidy(run), schema)
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
             made = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[f.name for f in schema.fields])
 
-    return df.select(*[df[f"`{f.name}`"] for f in kept]).mapInArrow(run, schema)
+    return df.select(*[df[f"`{f.name}`"] for f in kept]).mapInArrow(common.tidy(run), schema)

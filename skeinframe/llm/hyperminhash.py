@@ -161,7 +161,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
             columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids[:, 0], mask=n == 0), pa.array(ids[:, 1], mask=n == 0), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tkey", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("tkey")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(docs).alias("tkey")).mapInArrow(common.tidy(run), schema)
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame, members: DataFrame, work: common.Tables) -> DataFrame:
@@ -179,7 +179,7 @@ def _shingles(docs: DataFrame, nodes: DataFrame, members: DataFrame, work: commo
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([registers(s).tobytes() for s in sets], pa.binary()), lists], names=["rid", "n", "regs", "hashes"])
 
-    return work.stored(texts.mapInArrow(run, "rid long, n long, regs binary, hashes array<long>"), "shingles")
+    return work.stored(texts.mapInArrow(common.tidy(run), "rid long, n long, regs binary, hashes array<long>"), "shingles")
 
 
 def _within_reach(members: DataFrame, tokens: DataFrame, percent: int, work: common.Tables) -> DataFrame:
@@ -235,7 +235,7 @@ def _confirmed(pairs: DataFrame, tokens: DataFrame, percent: int, work: common.T
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return work.stored(rows.mapInArrow(run, "a long, b long"), "links")
+    return work.stored(rows.mapInArrow(common.tidy(run), "a long, b long"), "links")
 
 
 def components(edges: DataFrame, work: common.Tables | None = None, most: int = 60) -> DataFrame:

@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
                     names=["doc_id", "y", "terms", "counts"],
                 )
 
-        vectors = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<int>, counts array<float>")
+        vectors = rows.select("doc_id", "text", "y").mapInArrow(common.tidy(run), "doc_id long, y int, terms array<int>, counts array<float>")
         found = vectors.filter(F.size("terms") > 0).withColumn("o", order).orderBy("o", "doc_id").limit(max_labelled).collect()  # bounded by max_labelled rows of at most BUCKETS terms
     m = np.zeros((len(found), BUCKETS), np.float32)
     for row, r in zip(m, found, strict=True):

@@ -398,7 +398,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, file_bytes: int = 6
             rows.append(writer.finish())
         yield pa.RecordBatch.from_pylist([dict(zip(_ARROW_MANIFEST.names, r, strict=True)) for r in rows], schema=_ARROW_MANIFEST)
 
-    return common.stored(dealt.mapInArrow(run, MANIFEST), "manifest")
+    return common.stored(dealt.mapInArrow(common.tidy(run), MANIFEST), "manifest")
 
 
 def _blocks(path: str, doc_id: int | None = None) -> Iterator[tuple[dict, bytes]]:
@@ -449,4 +449,4 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
                     base += info["ids"]
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(common.tidy(run), schema)

@@ -224,7 +224,7 @@ def write(pages: DataFrame, folder: str | None = None, revisit_min_bytes: int =
             done.append(writer.finish())
         yield pa.RecordBatch.from_pylist(done, schema=_MANIFEST)
 
-    return common.stored(dealt.mapInArrow(run, "path string, records long, bytes long"), "packages")
+    return common.stored(dealt.mapInArrow(common.tidy(run), "path string, records long, bytes long"), "packages")
 
 
 # ---------------------------------------------------------------- reading
@@ -253,7 +253,7 @@ def locate(packages: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts)), pa.array(starts, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], names=["path", "start", "lengths"])
 
     paths = packages.select("path")
-    return paths.repartition(max(1, min(4096, paths.count())), "path").mapInArrow(run, "path string, start long, lengths array<long>")
+    return paths.repartition(max(1, min(4096, paths.count())), "path").mapInArrow(common.tidy(run), "path string, start long, lengths array<long>")
 
 
 def read(packages: DataFrame, payloads: bool = False, parts: int | None = None) -> DataFrame:
@@ -277,4 +277,4 @@ def read(packages: DataFrame, payloads: bool = False, parts: int | None = None)
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in names], names=names)
 
-    return runs.mapInArrow(run, schema)
+    return runs.mapInArrow(common.tidy(run), schema)
