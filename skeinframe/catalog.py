@@ -277,7 +277,9 @@ def rank_methods(t):
 def shift_diff_pct(t):
     o = lambda e: e.over("user_id", "event_id")
     v = c("value")
-    return t.events.select("event_id", o(v.shift(1)).alias("s1"), o(v.shift(-2)).alias("s2"), o(v.diff()).alias("d"), real(o(v.pct_change()), "p"))
+    rows = t.events.select("event_id", o(v.shift(1)).alias("s1"), o(v.shift(-2)).alias("s2"), o(v.diff()).alias("d"), o(v.pct_change()).alias("p"))
+    change = when(c("s1") != 0).then(c("p")).otherwise(lit(None, dtypes.flat("float64")))  # from zero the SQL has none
+    return rows.select("event_id", "s1", "s2", "d", real(change, "p"))
 
 
 @query(f"SELECT event_id, CASE WHEN v IS NOT NULL THEN round(sum(v) OVER w, 6) END AS cs, CASE WHEN v IS NOT NULL THEN min(v) OVER w END AS mi, CASE WHEN v IS NOT NULL THEN max(v) OVER w END AS ma FROM {_EV} WINDOW w AS (ORDER BY event_id)")

@@ -302,7 +302,12 @@ def _(ctx, e):
         out = F.signum(y) * _keep_float(F.floor, scaled) / F.lit(10.0**d)
     else:
         out = F.bround(y, d) if e.params["mode"] == "half_to_even" else F.round(y, d)
-    return F.when(F.isnan(y) | (F.abs(y) == INF), y).otherwise(out).cast(t)
+    top = F.abs(y)
+    if e.params["mode"] == "half_away_from_zero" and 0 < d <= 308:
+        # scaled, rounded and scaled back (if that overflows, y stays): F.round to digits goes by the shortest decimal and rounds floats just below a half up
+        top = top * F.lit(10.0**d)
+        out = F.signum(y) * F.round(top, 0) / F.lit(10.0**d)
+    return F.when(top < INF, out).otherwise(y).cast(t)  # NaN is above INF
 
 
 for _name in MATH - {"log1p"}:

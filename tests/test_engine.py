@@ -291,3 +291,27 @@ def test_catalogue(spark, name):
     assert sorted(df.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in df.columns]
     assert sorted(_key(r) for r in df.collect()) == sorted(_key([r[i] for i in order]) for r in want.fetchall())
+
+
+def test_shift_diff_pct_from_zero_and_ties(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    value = [6.4, 57.63, 0.0, 5.0, 0.0, 0.0, -0.0, -3.5, None, 2.0, math.nan, 1.0, 1.0 - 1e-8, math.inf, 7.0]
+    rows = pa.table({"event_id": range(len(value)), "user_id": [1] * len(value), "value": value})
+    pq.write_table(rows, tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalog.QUERIES["shift_diff_pct"](spark, str(tmp_path))
+    want = con.sql(catalog.ORACLE["shift_diff_pct"])
+    order = [want.columns.index(c) for c in df.columns]
+    got = {r["event_id"]: r for r in df.collect()}
+    assert sorted(map(_key, got.values())) == sorted(_key([r[i] for i in order]) for r in want.fetchall())
+    assert got[1]["p"] == 8.004687 and [got[i]["p"] for i in (3, 5, 6, 7)] == [None] * 4
+
+
+def test_round_half_away_scales(make):
+    f = make(x=pa.array([57.63 / 6.4 - 1, 1 - 57.63 / 6.4, 0.0000005, 0.5, 1e305, -1e-7, math.nan, -math.inf, None])).lazy()
+    got = values(f.select(col("x").round(6, "half_away_from_zero")), "x")
+    assert got[:5] == [8.004687, -8.004687, 0.000001, 0.5, 1e305] and math.copysign(1, got[5]) == -1 and got[5] == 0
+    assert math.isnan(got[6]) and got[7:] == [-math.inf, None]
+    assert values(f.select(col("x").round(0, "half_away_from_zero")), "x")[:5] == [8.0, -8.0, 0.0, 1.0, 1e305]
